@@ -1,8 +1,8 @@
 r"""Loading delimited record lines with the bad ones set apart.
 
 Every block of lines (an Arrow batch) is parsed at once on the columnar CSV reader and checked by vectorised predicates. A block that
-does not pass as a whole is cut in two and each half tried again, so that a bad record costs about 2 log2(block) bulk parses of
-ever smaller pieces; the single lines that remain are diagnosed by a strict scanner, which alone decides the reason.
+does not pass as a whole is cut in two and each half tried again, so that a bad record costs a few bulk parses of
+ever smaller pieces; the lines of the smallest failing pieces are diagnosed by a strict scanner, which alone decides the reason.
 
 Grammar: fields are separated by commas. A field that begins with a double quote ends at a double quote that stands directly before
 a comma or the end of the line, holds commas and line breaks freely, and doubles every double quote inside. A double quote anywhere
@@ -16,6 +16,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("seqinfo", "sequence", "vgene", "jgene", "species")
+#: A failing block of at most so many lines is diagnosed line by line, which is then cheaper than parsing its halves.
+LEAF = 64
 _LETTERS = r"\A[ACDEFGHIKLMNPQRSTVWYX]+\z"
 #: What a valid line looks like; RE2 runs it over a whole column. It is asked of lines with a quote only.
 _SHAPE = r'(?s)\A(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*)){%d}\z'
@@ -74,7 +77,7 @@ def diagnose(line: str, n_fields: int = len(FIELDS)) -> tuple[list[str] | None,
 
 def _bulk(lines: pa.Array, n_fields: int) -> pa.Table | None:
     """The columns of lines that are all valid, else None. A None may be wrong, a table never is."""
-    text = pc.binary_join(pa.array([lines.to_pylist()]), "\n")[0].as_py()
+    text = "\n".join(lines.to_pylist())
     if "\r" in text or "\x00" in text or text.startswith("﻿"):  # the reader would read them in its own way
         return None
     if '"' in text:
@@ -99,17 +102,23 @@ def _bulk(lines: pa.Array, n_fields: int) -> pa.Table | None:
 
 
 def _split(lines: pa.Array, n_fields: int, at: int, good: list, bad: list) -> None:
-    """Append (first index, columns) pieces to good and (index, reason) to bad; bisects, so at most log2(block) calls deep."""
+    """Append (indices, columns) pieces to good and (index, reason) to bad; bisects, so at most log2(block) calls deep."""
     if not len(lines):
         return
     if (columns := _bulk(lines, n_fields)) is not None:
-        good.append((at, columns))
-    elif len(lines) == 1:
-        fields, reason = diagnose(lines[0].as_py(), n_fields)
-        if reason:
-            bad.append((at, reason))
-        else:
-            good.append((at, pa.table([pa.array([f], pa.string()) for f in fields], names=[str(i) for i in range(n_fields)])))
+        good.append((np.arange(at, at + len(lines)), columns.columns))
+    elif len(lines) <= LEAF:
+        kept: list[list[str]] = []
+        where: list[int] = []
+        for i, line in enumerate(lines.to_pylist(), at):
+            fields, reason = diagnose(line, n_fields)
+            if reason:
+                bad.append((i, reason))
+            else:
+                where.append(i)
+                kept.append(fields)
+        if kept:
+            good.append((np.array(where), [pa.array(c, pa.string()) for c in zip(*kept)]))
     else:
         half = len(lines) // 2
         _split(lines.slice(0, half), n_fields, at, good, bad)
@@ -137,9 +146,10 @@ def parse_records(df: DataFrame, record_id: Column, line: Column, fields: tuple[
             bad: list = []
             _split(batch.column(1).cast(pa.string()), n, 0, good, bad)
             ids = batch.column(0)
-            for at, columns in good:
-                m = columns.num_rows
-                yield pa.RecordBatch.from_arrays([ids.slice(at, m), *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns.columns), pa.nulls(m, pa.string())], schema=schema)
+            if good:
+                where = pa.array(np.concatenate([w for w, _ in good]))
+                columns = [pa.chunked_array([ch for piece in pieces for ch in (piece.chunks if isinstance(piece, pa.ChunkedArray) else [piece])], pa.string()).combine_chunks() for pieces in zip(*(c for _, c in good))]
+                yield pa.RecordBatch.from_arrays([ids.take(where), *columns, pa.nulls(len(where), pa.string())], schema=schema)
             if bad:
                 where = pa.array([i for i, _ in bad])
                 yield pa.RecordBatch.from_arrays([ids.take(where), *(pa.nulls(len(bad), pa.string()) for _ in fields), pa.array([r for _, r in bad])], schema=schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainforge.llm.canonical_names import map_names
 from chainforge.llm.hidden_duplicates import collapsed, fields, hidden_duplicates, keyed, letters
 from chainforge.llm.link_groups import link_groups
 from chainforge.llm.term_frequency import term_frequencies
@@ -46,7 +47,18 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return link_groups(table(spark, sf, "chain_matches"), "id_a", "id_b")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p5_found": p5_found}
+def p6_names(spark: SparkSession, sf: str) -> DataFrame:
+    t, genes = table(spark, sf, "cdr_rows"), table(spark, sf, "germlines")
+    heavy = genes.where("chain = 'H' AND segment = 'V'")
+    light = genes.where("chain IN ('K', 'L') AND segment = 'J'")
+    return map_names(t, F.col("cdr_id"), {"heavy_vgene": (F.col("heavy_vgene"), heavy), "light_jgene": (F.col("light_jgene"), light)}).withColumnRenamed("row_id", "cdr_id")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_names(spark, sf).select("cdr_id", "field", "gene_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p5_found": p5_found, "p6_found": p6_found, "p6_names": p6_names}
 
 _TERMS = """
 WITH v AS (SELECT seq_id, 'heavy_vgene' AS field, heavy_vgene AS v FROM full_chains UNION ALL SELECT seq_id, 'light_vgene', light_vgene FROM full_chains UNION ALL SELECT seq_id, 'heavy_jgene', heavy_jgene FROM full_chains),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chainforge.llm.canonical_names import map_names
 from chainforge.llm.hidden_duplicates import collapsed, fields, hidden_duplicates, keyed, letters
 from chainforge.llm.link_groups import link_groups
+from chainforge.llm.similarity_clusters import cluster_profiles, similarity_clusters
 from chainforge.llm.term_frequency import term_frequencies
 from chainforge.runtime import table
 
@@ -43,6 +44,19 @@ def p3_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return collapsed(_canonical(spark, sf))
 
 
+def _alike(op, spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "full_chains").where(written("heavy_chain") & written("heavy_vgene") & written("heavy_jgene"))
+    return op(t, F.col("seq_id"), letters(F.col("heavy_chain")), [F.col("heavy_vgene"), F.col("heavy_jgene")])
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _alike(similarity_clusters, spark, sf)
+
+
+def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return _alike(cluster_profiles, spark, sf)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return link_groups(table(spark, sf, "chain_matches"), "id_a", "id_b")
 
@@ -58,7 +72,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_names(spark, sf).select("cdr_id", "field", "gene_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p5_found": p5_found, "p6_found": p6_found, "p6_names": p6_names}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p6_found": p6_found, "p6_names": p6_names}
 
 _TERMS = """
 WITH v AS (SELECT seq_id, 'heavy_vgene' AS field, heavy_vgene AS v FROM full_chains UNION ALL SELECT seq_id, 'light_vgene', light_vgene FROM full_chains UNION ALL SELECT seq_id, 'heavy_jgene', heavy_jgene FROM full_chains),
@@ -78,6 +92,12 @@ SQL = {
     "p1_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark <> 'useful'",
     "p3_found": _SETS + "SELECT table_name, kept_id, id AS copy_id FROM s WHERE id <> kept_id",
     "p3_collapsed": _SETS + "SELECT table_name, kept_id, count(*) AS n_copies FROM s GROUP BY ALL",
+    "p4_found": """
+WITH RECURSIVE c AS (SELECT seq_id, heavy_vgene AS v, heavy_jgene AS j, upper(regexp_replace(heavy_chain, '[^A-Za-z]', '', 'g')) AS x FROM full_chains
+    WHERE regexp_matches(heavy_chain, '\\S') AND regexp_matches(heavy_vgene, '\\S') AND regexp_matches(heavy_jgene, '\\S')),
+e AS (SELECT p.seq_id AS a, q.seq_id AS b FROM c p JOIN c q ON p.v = q.v AND p.j = q.j AND length(p.x) = length(q.x) AND p.seq_id <> q.seq_id WHERE 10 * hamming(p.x, q.x) <= length(p.x)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT least(a, min(b)) AS cluster_id, a AS seq_id FROM r GROUP BY a""",
     "p5_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT id_a AS a, id_b AS b FROM chain_matches WHERE id_a <> id_b UNION SELECT id_b, id_a FROM chain_matches WHERE id_a <> id_b),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainforge.functions.alphabet import RESIDUES
 from chainforge.functions.genes import SPECIES_CODES
@@ -109,7 +110,7 @@ def assign_genes(df: DataFrame, aligned: Column, chain: Column, species: Column,
     base = df.select(*rest, aligned.alias("__a"), chain.alias("__c"), wanted.alias("__s"))
     ddl = df.select(*rest).schema
     for name in new:
-        ddl = ddl.add(name, "double" if name.endswith("identity") else "string")
+        ddl = ddl.add(name, T.DoubleType() if name.endswith("identity") else T.StringType())
     return base.mapInArrow(run, ddl)
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainforge.functions.alphabet import ALPHABET, encode, mask_gaps, mask_positions, mask_terminal_gaps
 from chainforge.functions.positions import Template
@@ -135,7 +136,7 @@ class CategoricalMixture:
         with np.errstate(divide="ignore"):
             return np.log(np.maximum(mu, CLIP)).reshape(self.n_components, -1).T.copy(), np.log(w) if use_weights else np.zeros(self.n_components)
 
-    def _apply(self, df: DataFrame, codes: Column, make, name: str, kind: str, arrow: pa.DataType, use_weights: bool = True) -> DataFrame:
+    def _apply(self, df: DataFrame, codes: Column, make, name: str, kind: T.DataType, arrow: pa.DataType, use_weights: bool = True) -> DataFrame:
         """df with a column made from each batch's log joint (n x K) and codes; null codes give null."""
         shared = df.sparkSession.sparkContext.broadcast(self._log(use_weights))
         length = self.length
@@ -166,15 +167,15 @@ class CategoricalMixture:
                 return [float(v / k) if k else None for v, k in zip(s, n)]
             return s.tolist()
 
-        return self._apply(df, codes, make, name, "double", pa.float64())
+        return self._apply(df, codes, make, name, T.DoubleType(), pa.float64())
 
     def predict(self, df: DataFrame, codes: Column, use_weights: bool = True, name: str = "cluster") -> DataFrame:
         """df with the most likely cluster, the first of equal ones."""
-        return self._apply(df, codes, lambda joint, x: joint.argmax(1).tolist(), name, "int", pa.int32(), use_weights)
+        return self._apply(df, codes, lambda joint, x: joint.argmax(1).tolist(), name, T.IntegerType(), pa.int32(), use_weights)
 
     def log_joint(self, df: DataFrame, codes: Column, name: str = "log_joint") -> DataFrame:
         """df with array<double> of log weight + log likelihood by cluster."""
-        return self._apply(df, codes, lambda joint, x: joint.tolist(), name, "array<double>", pa.list_(pa.float64()))
+        return self._apply(df, codes, lambda joint, x: joint.tolist(), name, T.ArrayType(T.DoubleType()), pa.list_(pa.float64()))
 
     # fitting (M7, M10, M15)
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainforge.functions.alphabet import ALPHABET, GAP, encode
 from chainforge.functions.positions import Template, label_of
@@ -187,7 +188,7 @@ class SequenceScorer:
                 cols = list(zip(*out)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.string())], names=[*rest, "new_score", "mutations", "new_seq"])
 
-        return df.select(*rest).mapInArrow(run, df.select(*rest).schema.add("new_score", "double").add("mutations", "array<string>").add("new_seq", "string"))
+        return df.select(*rest).mapInArrow(run, df.select(*rest).schema.add("new_score", T.DoubleType()).add("mutations", T.ArrayType(T.StringType())).add("new_seq", T.StringType()))
 
     def sample(self, spark, chain: str, cluster: int, n: int, seed: int = 0) -> DataFrame:
         """id, seq: n sequences drawn from a cluster, gaps stripped."""
@@ -196,7 +197,8 @@ class SequenceScorer:
         letters = []
         for p in range(len(mu)):
             u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", F.lit(p)), 11) * F.lit(2.0**-53)
-            letters.append(F.substring(F.lit(ALPHABET), F.least(F.size(F.filter(F.array(*(F.lit(float(s)) for s in steps[p])), lambda s, u=u: s <= u)) + 1, F.lit(LETTERS)).cast("int"), F.lit(1)))
+            drawn = sum(((F.lit(float(s)) <= u).cast("int") for s in steps[p]), F.lit(1))
+            letters.append(F.substring(F.lit(ALPHABET), F.least(drawn, F.lit(LETTERS)).cast("int"), F.lit(1)))
         return spark.range(n).select("id", F.translate(F.concat(*letters), "-", "").alias("seq"))
 
     def consensus(self, chain: str, cluster: int) -> str:

@@ -190,7 +190,10 @@ def dense_numbers(df: DataFrame, key: str) -> DataFrame:
 
 def kmer_counts(prepared: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     """chain_group, position, kmer, length, count: k-mers of the fixed-width CDR3 by column and CDR3 length, without all-gap ones (K5)."""
-    at = F.flatten(F.array(*(F.transform(F.sequence(F.lit(0), F.length("aln3") - k), lambda i, k=k: F.struct(i.alias("position"), F.substring(F.col("aln3"), i + 1, F.lit(k)).alias("kmer"))) for k in sizes)))
+    def at_columns(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.length("aln3") - k), lambda i: F.struct(i.alias("position"), F.substring(F.col("aln3"), i + 1, F.lit(k)).alias("kmer")))
+
+    at = F.flatten(F.array(*(at_columns(k) for k in sizes)))
     cells = prepared.select("chain_group", F.col("len3").alias("length"), F.explode(at).alias("e")).select("chain_group", "length", "e.*")
     return cells.where(~F.col("kmer").rlike("^-+$")).groupBy("chain_group", "position", "kmer", "length").agg(F.count("*").alias("count"))
 

@@ -88,16 +88,26 @@ def canonical_numbering(scheme: str, chain: str = "H") -> tuple[str, ...]:
     return tuple(out)
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once per row, however often ``use`` and its lambdas refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def code_number(code: Column) -> Column:
     """The number of a position code; null for the gap and for malformed codes."""
-    return F.regexp_extract(code, r"^(\d+)[A-Z]*$", 1).try_cast("int")
+    return _bare(code).try_cast("int")
+
+
+def _bare(code: Column) -> Column:
+    """A code without its insertion letters."""
+    return F.rtrim(code, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
 def sort_key(code: Column, scheme: str) -> Column:
     """An integer that orders position codes as the scheme does; null for malformed codes."""
     if scheme not in SCHEMES:
         raise ValueError(f"unknown scheme {scheme!r}")
-    letters = F.regexp_extract(code, r"^\d+([A-Z]*)$", 1)
+    letters = F.substring(code, F.length(_bare(code)) + 1, F.length(code))
     rank = F.when(F.length(letters) == 0, F.lit(0)).when(F.length(letters) == 1, F.ascii(letters) - 64).otherwise(26 * (F.ascii(letters) - 64) + F.ascii(F.substring(letters, 2, 1)) - 64)
     number = code_number(code)
     backwards = number.isin(*REVERSED[scheme]) if REVERSED[scheme] else F.lit(False)
@@ -127,17 +137,16 @@ def trim_alignment(seq: Column, numbering: Column) -> Column:
 
 
 def region_labels(numbering: Column, scheme: str, chain: str, cdr_scheme: str = "") -> Column:
-    """The region of every code, ``-`` for the gap."""
+    """The region of every code, ``-`` for the gap and for malformed codes."""
     starts = bounds(scheme, chain, cdr_scheme)
 
-    def label(code: Column) -> Column:
-        n = code_number(code)
-        out = F.when(n < starts[1], REGIONS[0])
+    def label(n: Column) -> Column:
+        out = F.when(n.isNull(), "-").when(n < starts[1], REGIONS[0])
         for name, stop in zip(REGIONS[1:-1], starts[2:]):
             out = out.when(n < stop, name)
-        return F.when(code == "-", "-").otherwise(out.otherwise(REGIONS[-1]))
+        return out.otherwise(REGIONS[-1])
 
-    return F.transform(numbering, label)
+    return F.transform(F.transform(numbering, code_number), label)
 
 
 def label_of(code: str, scheme: str, chain: str, cdr_scheme: str = "") -> str:
@@ -209,7 +218,8 @@ class Template:
     def align(self, seq: Column, numbering: Column) -> Column:
         """Fixed-width text: letters at template positions, gaps elsewhere; codes outside the template are dropped."""
         letters = F.map_from_entries(F.filter(F.arrays_zip(numbering.alias("n"), letters_of(seq).alias("s")), lambda e: e["n"] != "-"))
-        return F.when(seq.isNull() | numbering.isNull(), F.lit(None)).otherwise(F.array_join(F.transform(self._array, lambda c: F.coalesce(F.element_at(letters, c), F.lit("-"))), ""))
+        aligned = once(letters, lambda m: F.array_join(F.transform(self._array, lambda c: F.coalesce(F.element_at(m, c), F.lit("-"))), ""))
+        return F.when(seq.isNull() | numbering.isNull(), F.lit(None)).otherwise(aligned)
 
     def align_region(self, seq: Column, numbering: Column, region: str) -> Column:
         return self.slice(self.align(seq, numbering), region)
@@ -257,6 +267,16 @@ def build_msa(df: DataFrame, seq: str, numbering: str, chain: str, scheme: str,
     return codes, df.withColumn("aligned", Template(codes, chain, scheme).align(F.col(seq), F.col(numbering)))
 
 
+def imgt_cdr_text(seq: Column, numbering: Column, cdr: int) -> Column:
+    """The letters of an IMGT CDR, whose codes follow each other; cheaper than extract_region, as no labels are made."""
+    first, n, _, _ = _IMGT_CDRS[cdr]
+
+    def cut(inside: Column) -> Column:
+        return F.substring(seq, F.array_position(inside, True).cast("int"), F.size(F.filter(inside, lambda x: x)))
+
+    return F.coalesce(once(F.transform(numbering, lambda c: F.coalesce(code_number(c).between(first, first + n - 1), F.lit(False))), cut), F.lit(""))
+
+
 def extract_region(seq: Column, labels: Column, region: str) -> Column:
     """The letters whose label begins with ``region``."""
     pairs = F.arrays_zip(labels.alias("l"), letters_of(seq).alias("s"))

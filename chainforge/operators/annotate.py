@@ -275,25 +275,77 @@ def prefilter(df: DataFrame, seq_id: str, seq: str, kmers: DataFrame, scores: Da
 
     kmers: chain, kmer of N-terminal starts. n_score is the most hits of a chain among ``window`` successive starts of its k-mers.
     scores: chain, offset (from 0), residue, score. c_score is the highest sum of scores over ``span`` letters from any start, 0 at
-    least; near the end the sum is cut off. Sequences shorter than what is looked for score 0. Both dictionaries are broadcast and
-    refused beyond a million rows.
+    least; near the end the sum is cut off. Sequences shorter than what is looked for, and null ones, score 0. Both dictionaries are
+    broadcast and refused beyond a million rows. One narrow pass: k-mers are whole numbers looked up by binary search, and the
+    scores of a batch are sums of shifted look-ups.
     """
-    for small in (kmers, scores):
-        if small.limit(1_000_001).count() > 1_000_000:
-            raise ValueError("the dictionary is too large to broadcast")
-    base = df.select(seq_id, seq)
-    chains = kmers.select("chain").union(scores.select("chain")).distinct()
-    spots = base.where(F.length(seq) > k).select(seq_id, F.explode(F.sequence(F.lit(0), F.length(seq) - k - 1)).alias("i"), seq)
-    found = spots.select(seq_id, "i", F.substring(F.col(seq), F.col("i") + 1, F.lit(k)).alias("kmer")).join(F.broadcast(kmers.select("chain", "kmer").distinct()), "kmer")
-    # a window that holds the most hits may be taken to begin at a hit
-    wide = Window.partitionBy(seq_id, "chain").orderBy("i").rangeBetween(0, window - 1)
-    n = found.select(seq_id, "chain", F.count("*").over(wide).alias("hits")).groupBy(seq_id, "chain").agg(F.max("hits").alias("n_score"))
-    ends = base.where(F.length(seq) > 5).select(seq_id, F.explode(F.sequence(F.lit(0), F.length(seq) - 6)).alias("i"), seq)
-    cells = ends.select(seq_id, "i", F.posexplode(F.split(F.substring(F.col(seq), F.col("i") + 1, F.lit(span)), "")).alias("offset", "residue"))
-    sums = cells.join(F.broadcast(scores.select("chain", "offset", "residue", "score")), ["offset", "residue"]).groupBy(seq_id, "chain", "i").agg(F.sum("score").alias("s"))
-    c = sums.groupBy(seq_id, "chain").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("c_score"))
-    every = base.select(seq_id).join(F.broadcast(chains))
-    return every.join(n, [seq_id, "chain"], "left").join(c, [seq_id, "chain"], "left").select(seq_id, "chain", F.coalesce("n_score", F.lit(0)).cast("long").alias("n_score"), F.coalesce("c_score", F.lit(0.0)).alias("c_score"))
+    most = 1_000_000
+    words = kmers.select("chain", "kmer").distinct().limit(most + 1).collect()
+    cells = scores.select("chain", "offset", "residue", "score").limit(most + 1).collect()
+    if max(len(words), len(cells)) > most:
+        raise ValueError("the dictionary is too large to broadcast")
+    shared = df.sparkSession.sparkContext.broadcast(([tuple(r) for r in words], [tuple(r) for r in cells]))
+    kind = df.schema[seq_id].dataType
+    base = 131
+
+    def numbers(x: np.ndarray, size: int) -> np.ndarray:
+        """The k-mers of rows of letters as numbers, exact for k up to 9."""
+        out = np.zeros((len(x), max(0, x.shape[1] - size + 1)), np.uint64)
+        for i in range(size):
+            out = out * np.uint64(base) + x[:, i : i + out.shape[1]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, cells = shared.value
+        chains = sorted({w[0] for w in words} | {c[0] for c in cells})
+        index = {c: np.unique([_kmer_number(w, base) for ch, w in words if ch == c and w and len(w) == k and w.isascii()]).astype(np.uint64) for c in chains}
+        table = {c: np.zeros((span, 256)) for c in chains}
+        for ch, offset, residue, score in cells:
+            if offset < span and len(residue) == 1 and residue.isascii():
+                table[ch][offset, ord(residue)] += score
+        for batch in batches:
+            seqs = batch.column(1).fill_null("").to_pylist()
+            order = np.argsort([len(s) for s in seqs], kind="stable")
+            n_out, c_out = np.zeros((len(seqs), len(chains)), np.int64), np.zeros((len(seqs), len(chains)))
+            at = 0
+            while at < len(order):
+                part = order[at : at + max(1, min(1000, 4_000_000 // max(1, len(seqs[order[min(at + 999, len(order) - 1)]]))))]
+                at += len(part)
+                lengths = np.array([len(seqs[i]) for i in part])
+                longest = int(lengths.max())
+                x = np.zeros((len(part), longest), np.uint8)
+                for r, i in enumerate(part):
+                    x[r, : lengths[r]] = np.frombuffer(seqs[i].encode("latin-1", "replace"), np.uint8)
+                if longest > k:
+                    codes = numbers(x.astype(np.uint64), k)[:, : longest - k]
+                    real = np.arange(codes.shape[1])[None, :] < (lengths - k)[:, None]
+                if longest > 5:
+                    starts = np.arange(longest - 5)[None, :] < (lengths - 5)[:, None]
+                for j, ch in enumerate(chains):
+                    if longest > k and len(index[ch]):
+                        spot = np.minimum(np.searchsorted(index[ch], codes), len(index[ch]) - 1)
+                        hits = ((index[ch][spot] == codes) & real).astype(np.int64)
+                        sums = np.concatenate([np.zeros((len(part), 1), np.int64), hits.cumsum(1)], 1)
+                        stop = np.minimum(np.arange(hits.shape[1]) + window, hits.shape[1])
+                        n_out[part, j] = (sums[:, stop] - sums[:, :-1]).max(1)
+                    if longest > 5:
+                        total = np.zeros((len(part), longest - 5))
+                        for o in range(span):
+                            width = min(longest - 5, longest - o)
+                            total[:, :width] += table[ch][o][x[:, o : o + width]]
+                        c_out[part, j] = np.maximum(np.where(starts, total, 0).max(1), 0)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(seqs)), len(chains))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(chains * len(seqs), pa.string()), pa.array(n_out.ravel()), pa.array(c_out.ravel())], names=[seq_id, "chain", "n_score", "c_score"])
+
+    schema = T.StructType([T.StructField(seq_id, kind), T.StructField("chain", T.StringType()), T.StructField("n_score", T.LongType()), T.StructField("c_score", T.DoubleType())])
+    return df.select(seq_id, seq).mapInArrow(run, schema)
+
+
+def _kmer_number(word: str, base: int) -> int:
+    out = 0
+    for ch in word:
+        out = (out * base + ord(ch)) % (1 << 64)
+    return out
 
 
 _BASES = "TCAG"

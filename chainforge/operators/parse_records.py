@@ -23,6 +23,8 @@ import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainforge.runtime import spread
+
 FIELDS = ("seqinfo", "sequence", "vgene", "jgene", "species")
 #: A failing block of at most so many lines is diagnosed line by line, which is then cheaper than parsing its halves.
 LEAF = 64
@@ -155,4 +157,4 @@ def parse_records(df: DataFrame, record_id: Column, line: Column, fields: tuple[
                 yield pa.RecordBatch.from_arrays([ids.take(where), *(pa.nulls(len(bad), pa.string()) for _ in fields), pa.array([r for _, r in bad])], schema=schema)
 
     ddl = ", ".join([f"{id_name} long", *(f"`{f}` string" for f in fields), "reason string"])
-    return slim.mapInArrow(parse, ddl)
+    return spread(slim).mapInArrow(parse, ddl)

@@ -9,7 +9,7 @@ from chainforge.functions import alphabet, genes, liabilities, positions
 from chainforge.functions.substitution import MATCH, default_scores
 from chainforge.operators import annotate as ann
 from chainforge.operators import gene_assignment as ga
-from chainforge.runtime import table
+from chainforge.runtime import spread, table
 
 TEMPLATE = positions.Template(positions.canonical_numbering("imgt", "H"), "H", "imgt")
 CDR_WIDTH = 20
@@ -18,7 +18,8 @@ CDR_WIDTH = 20
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
     """seq_id, seq, num, heavy_vgene, heavy_jgene, species: heavy chains that come with a code for each letter."""
     t = table(spark, sf, "full_chains").where(F.col("heavy_numbering").isNotNull() & F.col("heavy_chain").rlike(r"^[A-Z]+\z"))
-    return t.select("seq_id", F.col("heavy_chain").alias("seq"), F.split("heavy_numbering", "_").alias("num"), "heavy_vgene", "heavy_jgene", "species").where("size(num) = length(seq)")
+    t = t.select("seq_id", F.col("heavy_chain").alias("seq"), F.split("heavy_numbering", "_").alias("num"), "heavy_vgene", "heavy_jgene", "species")
+    return spread(t.where("size(num) = length(seq)"))
 
 
 def germlines(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,12 +104,12 @@ def _dictionaries(spark, sf):
 
 def n3_prefilter(spark, sf):
     t = table(spark, sf, "full_chains").where(F.col("heavy_chain").rlike(r"^[A-Z]+\z"))
-    return ann.prefilter(t, "seq_id", "heavy_chain", *_dictionaries(spark, sf))
+    return ann.prefilter(spread(t.select("seq_id", "heavy_chain")), "seq_id", "heavy_chain", *_dictionaries(spark, sf))
 
 
 def _annotated(spark, sf):
     profiles = ann.chain_profiles(germlines(spark, sf))
-    t = table(spark, sf, "full_chains").where(F.length("heavy_chain") > 0).select("seq_id", F.col("heavy_chain").alias("seq"))
+    t = spread(table(spark, sf, "full_chains").where(F.length("heavy_chain") > 0).select("seq_id", F.col("heavy_chain").alias("seq")))
     return ann.annotate(t, alphabet.clean_sequence(F.col("seq")), profiles)
 
 
@@ -120,7 +121,7 @@ def n2_paired_annotate(spark, sf):
     profiles = ann.chain_profiles(germlines(spark, sf))
     t = table(spark, sf, "full_chains").where((F.length("heavy_chain") > 0) & (F.length("light_chain") > 0))
     both = F.concat(alphabet.clean_sequence(F.col("heavy_chain")), alphabet.clean_sequence(F.col("light_chain")))
-    got = ann.annotate_paired(t.select("seq_id", both.alias("seq")), F.col("seq"), profiles)
+    got = ann.annotate_paired(spread(t.select("seq_id", both.alias("seq"))), F.col("seq"), profiles)
     return got.select("seq_id", *(x for s in ("heavy", "light") for x in (F.col(f"{s}.chain").alias(f"{s}_chain"), F.round(f"{s}.percent_identity", 6).alias(f"{s}_identity"), F.size(F.filter(f"{s}.numbering", lambda c: c != "-")).alias(f"{s}_numbered"), F.col(f"{s}.error").alias(f"{s}_error"))))
 
 

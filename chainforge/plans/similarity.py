@@ -11,7 +11,7 @@ from chainforge.functions.substitution import mismatch_distances
 from chainforge.operators import search as se
 from chainforge.operators.gene_assignment import IMGT_CODES
 from chainforge.plans.sequences import numbered
-from chainforge.runtime import table
+from chainforge.runtime import store, table
 
 RESIDUES = r"^[ACDEFGHIKLMNPQRSTVWY]+\z"
 W1, W2, W3 = (se.CDR_WIDTHS[k] for k in (1, 2, 3))
@@ -62,11 +62,11 @@ def k1_blosum(spark, sf):
 def chain_table(spark, sf) -> DataFrame:
     """Prepared heavy chains of full_chains, from their numbering."""
     t = numbered(spark, sf).where(F.col("seq").rlike(RESIDUES))
-    labels = positions.region_labels(F.col("num"), "imgt", "H")
-    t = t.withColumn("labels", labels)
-    cdr = {k: positions.extract_region(F.col("seq"), F.col("labels"), f"cdr{k}") for k in (1, 2, 3)}
+    cdr = {k: positions.imgt_cdr_text(F.col("seq"), F.col("num"), k) for k in (1, 2, 3)}
     v = F.substring_index("heavy_vgene", "*", 1)
-    return se.prepare(t, F.col("seq_id"), F.lit("H"), cdr, F.when(v != "", v), F.when(F.col("heavy_jgene") != "", F.col("heavy_jgene")), F.col("species"))
+    # stored, as every search reads them twice, and as the optimiser would else copy the extraction into each use and filter
+    rows = store(t.select("seq_id", *(c.alias(f"c{k}") for k, c in cdr.items()), F.when(v != "", v).alias("v"), F.when(F.col("heavy_jgene") != "", F.col("heavy_jgene")).alias("j"), "species"))
+    return se.prepare(rows, F.col("seq_id"), F.lit("H"), {k: F.col(f"c{k}") for k in cdr}, F.col("v"), F.col("j"), F.col("species"))
 
 
 def k2_prepared_search(spark, sf):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chainforge.operators.annotate import chain_profiles
 from chainforge.operators.search import SearchSettings, search
 from chainforge.plans.sequences import germlines
-from chainforge.runtime import shared_dir, store, table
+from chainforge.runtime import shared_dir, spread, store, table
 from chainforge.sources import database as db
 from chainforge.sources import files
 
@@ -42,7 +42,7 @@ def _columns(spark) -> dict[str, str]:
 
 
 def s6_full_chain_build(spark, sf):
-    _, chains, _ = db.from_full_chains(table(spark, sf, "full_chains"), _columns(spark), chain_profiles(germlines(spark, sf)))
+    _, chains, _ = db.from_full_chains(spread(table(spark, sf, "full_chains").select(*_columns(spark))), _columns(spark), chain_profiles(germlines(spark, sf)))
     return chains
 
 
@@ -59,7 +59,8 @@ def s9_rejects(spark, sf):
 
 def s5_database_roundtrip(spark, sf) -> DataFrame:
     """Build from sequences, write, open, and search it with every 100th row."""
-    t = table(spark, sf, "fasta_records").select(F.col("rec_id").alias("seq_id"), F.col("seqinfo").alias("metadata"), F.upper(F.regexp_replace("sequence", "[^A-Za-z]", "")).alias("seq"))
+    t = table(spark, sf, "fasta_records")
+    t = spread(t.select(F.col("rec_id").alias("seq_id"), F.col("seqinfo").alias("metadata"), F.upper(F.regexp_replace("sequence", "[^A-Za-z]", "")).alias("seq")))
     info = db.Info(memo="fasta_records")
     parts = db.from_sequences(t, "seq", germlines(spark, sf), chain_profiles(germlines(spark, sf)), info)
     path = _folder(spark)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chainforge.functions.alphabet import is_valid_sequence
 from chainforge.functions.genes import CHAIN_CODES, parse_gene, reassemble_gene
-from chainforge.functions.positions import Template, canonical_numbering, extract_region, region_labels
+from chainforge.functions.positions import Template, canonical_numbering, imgt_cdr_text
 from chainforge.operators.annotate import annotate, annotate_paired
 from chainforge.operators.gene_assignment import assign_genes, to_imgt_columns
 from chainforge.operators.search import CDR_WIDTHS, prepare
@@ -51,12 +51,13 @@ def chain_rows(df: DataFrame, seq: Column, numbering: Column, chain: Column, v:
 
 
 def _cdr(seq: Column, numbering: Column, cdr: int) -> Column:
-    return extract_region(seq, region_labels(numbering, "imgt", "H"), f"cdr{cdr}")
+    return imgt_cdr_text(seq, numbering, cdr)
 
 
 def to_chains_table(rows: DataFrame) -> DataFrame:
     """The stored chains: CHAINS with fixed-width CDRs, lengths, chain group and parsed genes; CDRs that are too wide are cut from the table."""
     v, j = parse_gene(F.col("v_gene"), F.col("species")), parse_gene(F.col("j_gene"), F.col("species"))
+    rows = store(rows)  # else the optimiser copies the extraction of the CDRs into each of their uses
     base = prepare(rows, F.col("seq_id"), F.col("chain"), {k: F.col(f"cdr{k}") for k in (1, 2, 3)}, F.struct("v_gene", "chain", "j_gene"), None, F.col("species"), F.col("n_noncanonical"))
     flat = base.select("seq_id", "chain_group", *(F.col(f"aln{k}").alias(f"cdr{k}") for k in (1, 2, 3)), "len1", "len2", "len3", "species", "n_noncanonical", F.col("v.chain").alias("chain"), F.col("v.v_gene").alias("v_gene"), F.col("v.j_gene").alias("j_gene"))
     codes = F.create_map(*(F.lit(x) for kv in CHAIN_CODES.items() for x in kv))

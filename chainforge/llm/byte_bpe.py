@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainforge.runtime import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: How byte-level BPE vocabularies of this family part a text into pieces (fixed by the vocabulary).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -191,5 +193,5 @@ def encode_texts(df: DataFrame, doc_id: Column, text: Column, vocabulary: str =
 
     slim = [doc_id.cast("long").alias("doc_id"), text.alias("text")]
     if counts_only:
-        return df.select(*slim, (F.lit(None) if carry is None else carry).cast("string").alias("carry")).mapInArrow(run, "doc_id long, carry string, n_tokens int")
-    return df.select(*slim).mapInArrow(run, "doc_id long, ids array<int>")
+        return spread(df.select(*slim, (F.lit(None) if carry is None else carry).cast("string").alias("carry"))).mapInArrow(run, "doc_id long, carry string, n_tokens int")
+    return spread(df.select(*slim)).mapInArrow(run, "doc_id long, ids array<int>")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainforge.runtime import spread
+
 #: The list is broadcast; a longer one is refused.
 MAX_ENTRIES = 50_000
 #: Receptor loci a value may name instead of those of its field.
@@ -201,4 +203,4 @@ def map_names(df: DataFrame, row_id: Column, fields: dict[str, tuple[Column, Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     slim = df.select(row_id.cast("long").alias("row_id"), *(v.alias(f"v{k}") for k, (v, _) in enumerate(fields.values())))
-    return slim.mapInArrow(run, "row_id long, field string, value string, gene_id long, distance double, outcome string, suggestions array<long>")
+    return spread(slim).mapInArrow(run, "row_id long, field string, value string, gene_id long, distance double, outcome string, suggestions array<long>")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainforge.runtime import spread
+
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 #: How labels name the languages, in lower case; region, script and encoding suffixes are cut off before.
 NAMES = {
@@ -188,4 +190,4 @@ def languages(df: DataFrame, doc_id: Column, text: Column, label: Column, per_la
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in out], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("cell_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("label", pa.string()), ("main", pa.string()), ("n_text_cells", pa.int64())])
-    return docs.mapInArrow(run, "doc_id long, cell_no long, lang string, confidence double, label string, main string, n_text_cells long")
+    return spread(docs).mapInArrow(run, "doc_id long, cell_no long, lang string, confidence double, label string, main string, n_text_cells long")

@@ -203,7 +203,10 @@ class Template:
             raise ValueError("a template needs different codes")
         self.codes, self.chain, self.scheme, self.cdr_scheme = tuple(codes), chain, scheme, cdr_scheme or scheme
         self.labels = tuple(label_of(c, scheme, chain, self.cdr_scheme) for c in self.codes)
-        self._array = F.array(*(F.lit(c) for c in self.codes))
+
+    @property
+    def _array(self) -> Column:
+        return F.array(*(F.lit(c) for c in self.codes))
 
     def region_size(self, region: str = "all") -> int:
         return len(self.kept(region))

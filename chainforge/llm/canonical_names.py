@@ -28,6 +28,7 @@ LOCI = "IGHV IGHD IGHJ IGKV IGKJ IGLV IGLJ TRAV TRAJ TRBV TRBD TRBJ TRGV TRGJ TR
 #: Letters typed for one another, on sight or on the keyboard.
 _ALIKE = {frozenset(p) for p in ("il", "vu", "vb", "jh")}
 BOUND = 2.0
+LONGEST = 500
 _BEFORE = re.compile(
     r"^(?:h(?:omo)?\b\.?\s*sapiens|human|hum|hu|m(?:us)?\b\.?\s*musculus|mus|mouse|murine|mu|o\.?\s*cuniculus|oryctolagus(?:\s+cuniculus)?|rabbit|rab|v\.?\s*pacos|vicugna(?:\s+pacos)?|alpaca|llama|camelid)\b\.?\s*[-:,]?\s*"
 )
@@ -37,12 +38,12 @@ _N = r"([0-9oil]{1,4})"
 _DIGITS = r"([0-9][0-9oil]{0,3})"
 _GAP = r"[\s\-_./,]*"
 _ALLELE = rf"(?:(?=[\s*:^#_\-./,a])[\s*:^#_\-./,]*(?:allele|all?\b)?[\s*:^#_\-./,]*{_N})?"
-_LOCUS = r"((?:[a-z][\s\-_.]*)*?)"
-#: By (whether names have family and gene, whether the first number may begin with a letter that looks like a digit).
+_LOCUS = r"((?:[a-z][\s\-_.]*)*%s)"
+#: By whether names have family and gene: the first number begins with a digit; then it may begin with a letter that looks like
+#: one, and the locus ends as early or as late as it can.
 _SHAPES = {
-    (pair, alike): re.compile(rf"{_LOCUS}{_GAP}{_N if alike else _DIGITS}" + (rf"(?:\s*s\s*|[\s\-_./,]+){_N}" if pair else "") + _ALLELE)
+    pair: [re.compile((_LOCUS % lazy) + _GAP + number + (rf"(?:\s*s\s*|[\s\-_./,]+){_N}" if pair else "") + _ALLELE) for number, lazy in ((_DIGITS, "?"), (_N, "?"), (_N, ""))]
     for pair in (False, True)
-    for alike in (False, True)
 }
 
 
@@ -54,16 +55,18 @@ def readings(value: str, pair: bool) -> list[tuple[str, tuple[int, ...], int | N
     """What a value may say: (letters of the locus, numbers, allele or None), the plainest first; none if it is no gene name.
 
     pair: names have family and gene. Later readings take a letter before the first digit for a digit (IGKJl*01), or leave out a
-    first word (rattus: IGHV1-2*01).
+    first word (rattus: IGHV1-2*01). A value of more than LONGEST characters is no gene name.
     """
+    if len(value) > LONGEST:
+        return []
     s = unicodedata.normalize("NFKC", value).casefold()
     s = re.sub(r"[‐-―−]", "-", "".join(ch for ch in s if unicodedata.category(ch) != "Cf")).strip()
     s = _BEFORE.sub("", _NOTES.sub(" ", s).strip())
     s = _AFTER.sub("", s)
     out = []
     for t in dict.fromkeys((s, re.sub(r"^[a-z.]+\s*[:\-]?\s+", "", s))):
-        for alike in (False, True):
-            m = _SHAPES[pair, alike].fullmatch(t)
+        for shape in _SHAPES[pair]:
+            m = shape.fullmatch(t)
             if m:
                 *numbers, allele = m.groups()[1:]
                 out.append((re.sub(r"[^a-z]", "", m[1]), tuple(_number(x) for x in numbers), _number(allele)))

@@ -70,9 +70,10 @@ def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out anew if its scan has fewer partitions than the cluster has cores.
 
     For narrow maps that cost much more than their input: a table in a few files, or a file of one row group, would else keep most
-    cores idle. A table of enough files is passed through and not shuffled. Only for plans without shuffles of their own.
+    cores idle. A table of enough files is passed through and not shuffled. Streams are
+    passed through. Only for plans without shuffles of their own.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores)

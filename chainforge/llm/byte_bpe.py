@@ -164,10 +164,10 @@ class _Shared:
         return {"id": self.id, "broadcast": self.broadcast}
 
 
-def encode_texts(df: DataFrame, doc_id: Column, text: Column, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", counts_only: bool = False, carry: Column | None = None) -> DataFrame:
+def encode_texts(df: DataFrame, doc_id: Column, text: Column, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", counts_only: bool = False, carry: Column | None = None, keep_text: bool = False) -> DataFrame:
     """doc_id, ids: the ids of each whole text without special tokens; with counts_only doc_id, carry, n_tokens.
 
-    carry: a string that goes along with the counts.
+    carry: a string that goes along with the counts; keep_text: the text does, too.
 
     An empty and a null text have an empty list (0 tokens). The strings of special tokens in a text are ordinary text. A null or
     repeated doc_id is passed on. A narrow map: no shuffle. The vocabulary (under 1 MB, read on the driver) is broadcast.
@@ -186,12 +186,13 @@ def encode_texts(df: DataFrame, doc_id: Column, text: Column, vocabulary: str =
                     flat.extend(flat_of(map(get, find(t))))
                 offsets[r + 1] = len(flat)
             if counts_only:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(offsets))], names=["doc_id", "carry", "n_tokens"])
+                kept = [batch.column(1)] if keep_text else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(offsets)), *kept], names=["doc_id", "carry", "n_tokens", *["text"] * keep_text])
                 continue
             out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["doc_id", "ids"])
 
     slim = [doc_id.cast("long").alias("doc_id"), text.alias("text")]
     if counts_only:
-        return spread(df.select(*slim, (F.lit(None) if carry is None else carry).cast("string").alias("carry"))).mapInArrow(run, "doc_id long, carry string, n_tokens int")
+        return spread(df.select(*slim, (F.lit(None) if carry is None else carry).cast("string").alias("carry"))).mapInArrow(run, "doc_id long, carry string, n_tokens int" + ", text string" * keep_text)
     return spread(df.select(*slim)).mapInArrow(run, "doc_id long, ids array<int>")

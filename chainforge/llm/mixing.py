@@ -12,24 +12,25 @@ from chainforge.runtime import store
 
 #: Targets are a list kept by hand; they are broadcast and refused beyond this.
 MAX_TARGETS = 10_000
-_BINS = 4096
+#: Uniforms are compared with bin borders only, so that a histogram of them tells exactly what a mean will select.
+_BINS = 1 << 14
 
 
 def _cdf(mean: float, n: int) -> list[float]:
-    """P(N <= 0), ..., P(N <= n - 1) of a Poisson distribution; all 0 for an infinite mean."""
+    """P(N <= 0), ..., P(N <= n - 1) of a Poisson distribution, up to the next bin border; all 0 for an infinite mean."""
     if math.isinf(mean):
         return [0.0] * n
     term = math.exp(-mean)
     out, total = [], 0.0
     for k in range(n):
         total += term
-        out.append(min(total, 1.0))
+        out.append(min(math.ceil(total * _BINS - 1e-9) / _BINS, 1.0))
         term *= mean / (k + 1)
     return out
 
 
 class _Tail:
-    """Tokens of the documents whose uniform is at least x, from a histogram."""
+    """Tokens of the documents whose uniform is at least x, a bin border, from a histogram."""
 
     def __init__(self, bins: list[tuple[int, int]]):
         tokens = [0.0] * (_BINS + 1)
@@ -40,13 +41,11 @@ class _Tail:
             self.above[b] = self.above[b + 1] + tokens[b]
 
     def __call__(self, x: float) -> float:
-        b = min(int(x * _BINS), _BINS - 1)
-        part = x * _BINS - b
-        return self.above[b] * (1 - part) + self.above[b + 1] * part
+        return self.above[round(x * _BINS)]
 
 
 def _mean_for(wanted: float, cap: int, tail: _Tail) -> float:
-    """The mean at which min(N, cap) copies give the wanted tokens; they grow with the mean, since each uniform is fixed."""
+    """The mean at which min(N, cap) copies come nearest to the wanted tokens; they grow with the mean, since each uniform is fixed."""
     if wanted >= cap * tail(0.0) * (1 - 1e-9):
         return math.inf
     got = lambda m: sum(map(tail, _cdf(m, cap)))
@@ -56,22 +55,23 @@ def _mean_for(wanted: float, cap: int, tail: _Tail) -> float:
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if got(mid) < wanted else (low, mid)
-    return (low + high) / 2
+    return low if wanted - got(low) <= got(high) - wanted else high
 
 
-def sized(docs: DataFrame, targets: DataFrame, doc_id: Column, source: Column, text: Column, **tokenizer) -> DataFrame:
-    """doc_id, source, n_tokens of the documents whose source has a target, stored in the shared folder."""
+def sized(docs: DataFrame, targets: DataFrame, doc_id: Column, source: Column, text: Column, keep_text: bool = False, **tokenizer) -> DataFrame:
+    """doc_id, source, n_tokens and, if asked for, text of the documents whose source has a target, stored in the shared folder."""
     named = targets.select("source").where("source IS NOT NULL").distinct().limit(MAX_TARGETS + 1)
     if named.count() > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} sources have targets")
     slim = docs.select(doc_id.alias("d"), source.alias("source"), text.alias("t")).join(F.broadcast(named), "source", "left_semi")
-    return store(encode_texts(slim, F.col("d"), F.col("t"), counts_only=True, carry=F.col("source"), **tokenizer).withColumnRenamed("carry", "source"))
+    return store(encode_texts(slim, F.col("d"), F.col("t"), counts_only=True, carry=F.col("source"), keep_text=keep_text, **tokenizer).withColumnRenamed("carry", "source"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 20240517) -> tuple[DataFrame, DataFrame]:
     """(selection, shares). sizes: see ``sized``. targets: source, target_weight, max_repeats.
 
-    selection: doc_id, copy_no (from 1), source, n_tokens, in a global random order that the seed fixes. A document is taken as
+    selection: doc_id, copy_no (from 1), source, n_tokens and, if ``sizes`` has it, text, in a global random order that the seed
+    fixes; the texts are moved once, by that shuffle. A document is taken as
     often as the inverse Poisson distribution says for its hashed uniform and its source's mean, at most max_repeats times. The
     mean is the one at which the source's copies hold its share: of total_tokens, or if that is null or more than the caps allow,
     of the largest total that they do allow. A source at its cap has every document max_repeats times.
@@ -99,8 +99,9 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     steps = [(s, _cdf(_mean_for(total * share[s], c, tails[s]), c)) for s, (_, c) in used.items()]
     steps_df = spark.createDataFrame(steps, "source string, steps array<double>")
     copies = F.size(F.filter("steps", lambda c: c <= F.col("u")))
-    counted = drawn.join(F.broadcast(steps_df), "source").select("doc_id", "source", "n_tokens", copies.alias("n")).where("n > 0")
-    selection = counted.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("copy_no"), "source", "n_tokens")
+    counted = drawn.join(F.broadcast(steps_df), "source").withColumn("n", copies).where("n > 0")
+    text = [c for c in ("text",) if c in sizes.columns]
+    selection = counted.select("doc_id", F.explode(F.sequence(F.lit(1), "n")).alias("copy_no"), "source", "n_tokens", *text)
     selection = selection.withColumn("o", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no")).repartitionByRange("o").sortWithinPartitions("o").drop("o")
     got = counted.groupBy("source").agg(
         F.count("*").alias("n_documents"), F.sum("n").alias("n_copies"), F.max("n").alias("most_repeats"), F.sum(F.col("n") * F.col("n_tokens").cast("long")).alias("n_tokens")

@@ -15,17 +15,17 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
 
 
-def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf: str, keep_text: bool) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf, "mix_targets")
-    return mix(sized(table(spark, sf, "documents"), targets, F.col("doc_id"), F.col("source"), F.col("text")), targets)
+    return mix(sized(table(spark, sf, "documents"), targets, F.col("doc_id"), F.col("source"), F.col("text"), keep_text), targets)
 
 
 def p9_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixed(spark, sf)[0]
+    return _mixed(spark, sf, True)[0]
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixed(spark, sf)[1]
+    return _mixed(spark, sf, False)[1]
 
 
 def p10_languages(spark: SparkSession, sf: str) -> DataFrame:

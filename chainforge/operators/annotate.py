@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainforge.functions.alphabet import RESIDUES, is_valid_sequence, validity_error
-from chainforge.functions.positions import imgt_cdr_codes
+from chainforge.functions.positions import SCHEMES, imgt_cdr_codes
+from chainforge.functions.schemes import from_imgt
 
 MAB_CHAINS, TCR_CHAINS = ("H", "K", "L"), ("A", "B", "D", "G")
 POSITIONS = 128
@@ -206,26 +207,38 @@ def annotate_batch(seqs: list[str | None], profiles: dict[str, np.ndarray], chai
     return out
 
 
-def annotate(df: DataFrame, seq: Column, profiles: dict[str, np.ndarray], chains=MAB_CHAINS, name: str = "annotation") -> DataFrame:
-    """df with a struct<numbering, percent_identity, chain, error> of the best of ``chains``.
+def _converted(got: dict, scheme: str) -> dict:
+    return got if scheme == "imgt" or got["chain"] is None else {**got, "numbering": from_imgt(got["numbering"], got["chain"], scheme)}
+
+
+def _check_scheme(chains: list[str], scheme: str) -> None:
+    if scheme not in SCHEMES:
+        raise ValueError(f"unknown scheme {scheme!r}")
+    if scheme != "imgt" and set(chains) & set(TCR_CHAINS):
+        raise ValueError("T-cell receptors are numbered by IMGT only")
+
+
+def annotate(df: DataFrame, seq: Column, profiles: dict[str, np.ndarray], chains=MAB_CHAINS, name: str = "annotation", scheme: str = "imgt") -> DataFrame:
+    """df with a struct<numbering, percent_identity, chain, error> of the best of ``chains`` in a scheme.
 
     The numbering has a code per letter, ``-`` outside the domain. A null, empty or invalid sequence has an error that begins
     "Sequence contains invalid", identity 0 and no chain; a domain without its conserved residues has one that begins "Unexpected".
     """
     chains = _check(chains, profiles)
+    _check_scheme(chains, scheme)
     shared = df.sparkSession.sparkContext.broadcast({c: profiles[c] for c in chains})  # 128 x 20 counts a chain
     rest = [c for c in df.columns if c != name]
     out_schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(name, ANNOTATION)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = annotate_batch(batch.column(batch.num_columns - 1).to_pylist(), shared.value, chains)
+            got = [_converted(a, scheme) for a in annotate_batch(batch.column(batch.num_columns - 1).to_pylist(), shared.value, chains)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, _ARROW)], names=[*rest, name])
 
     return df.select(*rest, seq.alias("__seq")).mapInArrow(run, out_schema)
 
 
-def annotate_paired(df: DataFrame, seq: Column, profiles: dict[str, np.ndarray], receptor: str = "mab") -> DataFrame:
+def annotate_paired(df: DataFrame, seq: Column, profiles: dict[str, np.ndarray], receptor: str = "mab", scheme: str = "imgt") -> DataFrame:
     """df with structs ``heavy`` and ``light``, whatever their order in the sequence.
 
     The better domain is found first; its letters are masked by cutting the sequence there, and the longer flank that fits best is
@@ -236,6 +249,7 @@ def annotate_paired(df: DataFrame, seq: Column, profiles: dict[str, np.ndarray],
     if receptor not in groups:
         raise ValueError("receptor is mab or tcr")
     heavy, light = (_check([c for c in g if c in profiles], profiles) for g in groups[receptor])
+    _check_scheme([*heavy, *light], scheme)
     shared = df.sparkSession.sparkContext.broadcast(profiles)
     rest = [c for c in df.columns if c not in ("heavy", "light")]
     out_schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("heavy", ANNOTATION), T.StructField("light", ANNOTATION)])
@@ -265,7 +279,7 @@ def annotate_paired(df: DataFrame, seq: Column, profiles: dict[str, np.ndarray],
                 for (i, start, part), got in zip(flanks[g], annotate_batch([f[2] for f in flanks[g]], shared.value, chains)):
                     if got["percent_identity"] > out[g][i]["percent_identity"]:
                         out[g][i] = spread(got, start, len(seqs[i]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out["h"], _ARROW), pa.array(out["l"], _ARROW)], names=[*rest, "heavy", "light"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([_converted(a, scheme) for a in out["h"]], _ARROW), pa.array([_converted(a, scheme) for a in out["l"]], _ARROW)], names=[*rest, "heavy", "light"])
 
     return df.select(*rest, seq.alias("__seq")).mapInArrow(run, out_schema)
 

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from chainforge.functions.alphabet import RESIDUES
 from chainforge.functions.genes import SPECIES_CODES
-from chainforge.functions.positions import Template
+from chainforge.functions.positions import SCHEMES, Template
+from chainforge.functions.schemes import to_imgt
 from chainforge.functions.substitution import score_matrix
 
 POSITIONS = 128
@@ -27,6 +28,24 @@ def to_imgt_columns(seq: Column, numbering: Column) -> Column:
     return Template(IMGT_CODES, "H", "imgt").align(seq, numbering)
 
 
+def imgt_numbering(df: DataFrame, numbering: str, chain: str, scheme: str) -> DataFrame:
+    """df with the numbering converted to IMGT, so that genes don't depend on the scheme (V9). Null chains keep their codes."""
+    if scheme not in SCHEMES:
+        raise ValueError(f"unknown scheme {scheme!r}")
+    if scheme == "imgt":
+        return df
+    at, ch = df.columns.index(numbering), df.columns.index(chain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [n if n is None or c is None else to_imgt(n, c, scheme) for n, c in zip(batch.column(at).to_pylist(), batch.column(ch).to_pylist())]
+            columns = list(batch.columns)
+            columns[at] = pa.array(rows, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _one_hot(texts: list[str]) -> np.ndarray:
     """n x (128 * 20) flags; gaps and foreign letters have none."""
     table = np.full(256, -1)

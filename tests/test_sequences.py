@@ -318,3 +318,36 @@ def test_files(spark, tmp_path):
     assert tuple(line) == ("b", None, None)
     files.write_rejects(spark.createDataFrame([("x", "bad"), ("y", None)], "t string, c string"), F.col("t"), F.col("c"), str(tmp_path / "rej"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "rej")).collect()] == ["x\tbad"]
+
+
+def test_schemes_convert_there_and_back(spark):
+    from chainforge.functions.schemes import from_imgt, to_imgt
+
+    rng = random.Random(9)
+    for chain, absent in (("H", {10, 73}), ("K", {73, 81, 82})):
+        for _ in range(200):
+            n1, n2, n3 = rng.randrange(5, 13), rng.randrange(3, 11), rng.randrange(4, 22)
+            frame = lambda a, b: [str(i) for i in range(a, b + 1) if i not in absent]  # noqa: E731, B023
+            last = 128 if chain == "H" else 127
+            num = ["-"] + frame(1, 26) + list(positions.imgt_cdr_codes(1, n1)) + frame(39, 55) + list(positions.imgt_cdr_codes(2, n2)) + frame(66, 104) + list(positions.imgt_cdr_codes(3, n3)) + frame(118, last) + ["-"]
+            for scheme in ("kabat", "martin", "aho", "imgt"):
+                other = from_imgt(num, chain, scheme)
+                assert len(other) == len(num) and len(set(other) - {"-"}) == len(num) - 2
+                keys = [(int(re.match(r"\d+", c)[0]), c[len(re.match(r"\d+", c)[0]) :]) for c in other if c != "-"]
+                assert scheme == "imgt" or keys == sorted(keys)
+                assert to_imgt(other, chain, scheme) == num
+    heavy = ["23", "41", "104", "118"]
+    assert from_imgt(heavy, "H", "kabat") == ["22", "36", "92", "103"] and from_imgt(heavy, "H", "aho") == ["23", "43", "106", "139"]
+    assert from_imgt(["23", "41", "104", "118"], "L", "kabat") == ["23", "35", "88", "98"]
+    g = _germlines(spark)
+    v = {r["gene_name"]: r["aligned_seq"].replace("-", "") for r in g.collect()}
+    seqs = spark.createDataFrame([(i, v[f"IGH V{k}-1*01".replace(" ", "")] + "ARDYW" + v[f"IGHJ{k}*01"]) for i, k in enumerate((1, 2, 3))], "i int, s string")
+    found = []
+    for scheme in ("imgt", "kabat", "martin", "aho"):
+        a = ann.annotate(seqs, F.col("s"), ann.chain_profiles(g), ["H"], scheme=scheme).select("i", "s", F.col("annotation.numbering").alias("n"), F.col("annotation.chain").alias("c"))
+        back = ga.imgt_numbering(a, "n", "c", scheme)
+        got = ga.assign_genes(back.withColumn("a", ga.to_imgt_columns(F.col("s"), F.col("n"))), F.col("a"), F.col("c"), F.lit("unknown"), g)
+        found.append({r["i"]: (r["v_gene"], r["j_gene"], r["v_identity"]) for r in got.collect()})
+    assert all(f == found[0] for f in found) and found[0][1][:2] == ("IGHV2-1*01", "IGHJ2*01")
+    with pytest.raises(ValueError):
+        ann.annotate(seqs, F.col("s"), ann.chain_profiles(g), ["H"], scheme="chothia")

@@ -13,6 +13,7 @@ from chainforge.functions import alphabet, positions
 from chainforge.operators.mixture import CategoricalMixture, masked
 from chainforge.operators.scoring import SequenceScorer
 from chainforge.plans.sequences import NUM, TEMPLATE, _aligned, _list, numbered
+from chainforge.plans.typed import typed
 from chainforge.runtime import table
 
 K, WIDTH = 3, 20
@@ -184,3 +185,7 @@ SELECT x.seq_id, round(score + 59.5617, 6) AS adjusted, round(mean, 6) AS normal
     "h10_per_residue": _HJ + f""", best AS (SELECT k, pos, arg_min(aa, a - 1000 * round(p, 9) * 1e6) AS best_aa FROM mu GROUP BY k, pos)
 SELECT seq_id, cell.pos::int AS pos, ({_list(TEMPLATE.codes)})[cell.pos + 1] AS code, cell.aa, round(ln(mu.p), 6) AS log_p, best_aa FROM cell JOIN mu ON mu.k = seq_id % {K} AND mu.pos = cell.pos AND mu.aa = cell.aa JOIN best ON best.k = mu.k AND best.pos = mu.pos WHERE cell.aa <> '-'""",
 }
+
+#: Columns whose type in SQL isn"t that of the query.
+_TYPES = {"m6_log_joint": {"k": "INTEGER"}, "m7_em_one_step": {"k": "INTEGER", "pos": "INTEGER"}, "h7_topn_clusters": {"rank": "INTEGER"}}
+SQL |= {name: typed(SQL[name], types) for name, types in _TYPES.items()}

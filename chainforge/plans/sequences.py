@@ -9,6 +9,7 @@ from chainforge.functions import alphabet, genes, liabilities, positions
 from chainforge.functions.substitution import MATCH, default_scores
 from chainforge.operators import annotate as ann
 from chainforge.operators import gene_assignment as ga
+from chainforge.plans.typed import typed
 from chainforge.runtime import spread, table
 
 TEMPLATE = positions.Template(positions.canonical_numbering("imgt", "H"), "H", "imgt")
@@ -335,3 +336,7 @@ WITH h AS (SELECT seq_id, {_aligned(_list(TEMPLATE.codes), "heavy_chain", "strin
 l AS (SELECT seq_id, {_aligned(_list(_LIGHT), "light_chain", "string_split(light_numbering, '_')")} AS a, round(length(light_chain) / {len(_LIGHT)}::double, 6) AS i FROM full_chains WHERE {_CLEAN.format(s='light')})
 SELECT coalesce(h.seq_id, l.seq_id) AS seq_id, coalesce(h.a, repeat('-', {len(TEMPLATE.codes)})) AS heavy_aligned, coalesce(h.i, 0) AS heavy_identity, coalesce(l.a, repeat('-', {len(_LIGHT)})) AS light_aligned, coalesce(l.i, 0) AS light_identity FROM h FULL JOIN l ON h.seq_id = l.seq_id""",
 }
+
+#: Columns whose type in SQL isn"t that of the query.
+_TYPES = {"e1_encode_position_counts": {"pos": "INTEGER", "code": "INTEGER"}, "n4_trim": {"stop": "INTEGER"}, "l1_liabilities": {"start": "INTEGER", "stop": "INTEGER"}}
+SQL |= {name: typed(SQL[name], types) for name, types in _TYPES.items()}

@@ -11,6 +11,7 @@ from chainforge.functions.substitution import mismatch_distances
 from chainforge.operators import search as se
 from chainforge.operators.gene_assignment import IMGT_CODES
 from chainforge.plans.sequences import numbered
+from chainforge.plans.typed import typed
 from chainforge.runtime import store, table
 
 RESIDUES = r"^[ACDEFGHIKLMNPQRSTVWY]+\z"
@@ -216,3 +217,7 @@ SELECT query_id, seq_id, distance, list_sum(list_transform(range(1, 17), lambda
     "c1_single_linkage": _linkage(_CHAINS, "pc", "123", 0.2, "q.v = h.v AND q.species = h.species AND q.j = h.j", "pc", "SELECT seq_id AS id FROM full_chains"),
     "c1_single_linkage_cdr3": _linkage(_CDRS, "p", "3", 0.2, "q.v = h.v AND q.species = h.species", "p", "SELECT cdr_id AS id FROM cdr_rows"),
 }
+
+#: Columns whose type in SQL isn"t that of the query.
+_TYPES = {"k5_column_diversity": {"position": "INTEGER", "length": "INTEGER"}, "k6_tag_lower_bound": {"bound": "INTEGER"}}
+SQL |= {name: typed(SQL[name], types) for name, types in _TYPES.items()}

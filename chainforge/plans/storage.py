@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chainforge.operators.annotate import chain_profiles
 from chainforge.operators.search import SearchSettings, search
 from chainforge.plans.sequences import germlines
+from chainforge.plans.typed import typed
 from chainforge.runtime import shared_dir, spread, store, table
 from chainforge.sources import database as db
 from chainforge.sources import files
@@ -93,3 +94,7 @@ SQL = {
     + ", length(c1) AS len1, length(c2) AS len2, length(c3) AS len3, species, 0 AS n_noncanonical FROM j WHERE code IS NULL",
     "s9_rejects": _sides() + "SELECT seq_id, side, code FROM j WHERE code IS NOT NULL",
 }
+
+#: Columns whose type in SQL isn't that of the query.
+_TYPES = {"s7_cdr_build": {"len1": "INTEGER", "len2": "INTEGER", "len3": "INTEGER"}}
+SQL |= {name: typed(SQL[name], types) for name, types in _TYPES.items()}

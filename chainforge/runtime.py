@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,7 @@ class Stored:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
+        ship(self.spark)
         self.path = f"{shared_dir(self.spark)}/chainforge-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -62,7 +65,33 @@ def store(df: DataFrame) -> DataFrame:
     return Stored(df).df
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once per application; the readers of tables below call it.
+
+    With it neither the machines' Python path nor --py-files need name the package.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(root):  # it came in an archive, which is shipped already
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="chainforge-"), "chainforge_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    at = os.path.join(folder, name)
+                    z.write(at, os.path.join("chainforge", os.path.relpath(at, root)))
+    spark.sparkContext.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,6 +102,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores idle. A table of enough files is passed through and not shuffled. Streams are
     passed through. Only for plans without shuffles of their own.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df

@@ -63,6 +63,16 @@ def _check(chains, profiles) -> list[str]:
     return chains
 
 
+def _running_max(x: np.ndarray) -> np.ndarray:
+    """Running maxima along the first axis by doubling, which numpy vectorises and its accumulate doesn't."""
+    out = x.copy()
+    step = 1
+    while step < len(out):
+        np.maximum(out[step:], out[:-step].copy(), out=out[step:])
+        step *= 2
+    return out
+
+
 class _Aligner:
     def __init__(self, profile: np.ndarray):
         total = profile.sum(1, keepdims=True)
@@ -91,41 +101,60 @@ class _Aligner:
         self.insert = np.where(inner, _INSERT_CDR, _INSERT_FRAMEWORK).astype(np.float32)
         self.insert[[0, POSITIONS]] = 0  # letters outside the domain
 
-    def align(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, position of each letter from 1, 0 if it has none) for padded codes (n x longest)."""
+    def _rows(self, codes: np.ndarray, lengths: np.ndarray):
+        """Best scores of each (position, sequence) after each letter, as (letter, after insert or match, before skips, after skips).
+
+        Positions are the first axis, so every step is one vector operation over the sequences, running maxima included.
+        """
+        n = len(codes)
+        skip, insert = self.skip[:, None], self.insert[:, None]
+        h = np.repeat(-0.1 * skip, n, 1)  # leaving out either end of the domain costs little
+        match = np.empty((POSITIONS, n), np.float32)
+        for i in range(codes.shape[1]):
+            np.take(self.score, codes[:, i], axis=1, out=match)
+            match += h[:-1]
+            now = h - insert
+            better = match > now[1:]
+            np.maximum(now[1:], match, out=now[1:])
+            now += skip
+            best = _running_max(now)
+            h = best - skip
+            yield i, better, now, best, h
+
+    def _end(self, last: np.ndarray) -> np.ndarray:
+        return last - (self.skip[-1] - self.skip)[:, None] * 0.1
+
+    def scores(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        last = np.zeros((POSITIONS + 1, len(codes)), np.float32)
+        for i, _, _, _, h in self._rows(codes, lengths):
+            ended = np.flatnonzero(lengths == i + 1)
+            if ended.size:
+                last[:, ended] = h[:, ended]
+        return self._end(last).max(0)
+
+    def align(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The position of each letter from 1, 0 if it has none, for padded codes (n x longest)."""
         n, longest = codes.shape
-        free = self.skip * 0.1  # leaving out either end of the domain costs little
-        h = np.repeat((-free)[None, :], n, 0)
-        moves = np.zeros((longest, n, POSITIONS + 1), np.int8)  # 0 insert, 1 match
-        source = np.zeros((longest, n, POSITIONS + 1), np.int16)  # where a skip that ends here came from
-        last = np.zeros((n, POSITIONS + 1), np.float32)
-        for i in range(longest):
-            match = h[:, :-1] + self.score[:, codes[:, i]].T
-            insert = h - self.insert
-            now = insert.copy()
-            better = match > now[:, 1:]
-            now[:, 1:] = np.where(better, match, now[:, 1:])
-            moves[i, :, 1:] = better
-            lifted = now + self.skip
-            best = np.maximum.accumulate(lifted, 1)
-            source[i] = np.maximum.accumulate(np.where(lifted == best, np.arange(POSITIONS + 1, dtype=np.int16), 0), 1)
-            h = best - self.skip
-            ended = lengths == i + 1
-            if ended.any():
-                last[ended] = h[ended]
-        tail = (self.skip[-1] - self.skip) * 0.1
-        stop = (last - tail).argmax(1)
-        scores = (last - tail).max(1)
+        moves = np.zeros((longest, POSITIONS + 1, n), bool)  # whether the letter takes the position
+        source = np.zeros((longest, POSITIONS + 1, n), np.int16)  # where a run of left-out positions that ends here came from
+        last = np.zeros((POSITIONS + 1, n), np.float32)
+        index = np.arange(POSITIONS + 1, dtype=np.int16)[:, None]
+        for i, better, now, best, h in self._rows(codes, lengths):
+            moves[i, 1:] = better
+            source[i] = _running_max(np.where(now == best, index, np.int16(0)))
+            ended = np.flatnonzero(lengths == i + 1)
+            if ended.size:
+                last[:, ended] = h[:, ended]
+        j = self._end(last).argmax(0)
         where = np.zeros((n, longest), np.int16)
-        j = stop.copy()
         rows = np.arange(n)
         for i in range(longest - 1, -1, -1):
             on = i < lengths
-            j = np.where(on, source[i, rows, j], j)
-            hit = on & (moves[i, rows, j] == 1)
+            j = np.where(on, source[i, j, rows], j)
+            hit = on & moves[i, j, rows]
             where[hit, i] = j[hit]
             j = j - hit
-        return scores, where
+        return where
 
     def identity(self, codes: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Share of the framework positions seen in the profile that hold an allowed residue."""
@@ -190,14 +219,15 @@ def annotate_batch(seqs: list[str | None], profiles: dict[str, np.ndarray], chai
         part = usable[at : at + take]
         at += take
         codes, lengths = _codes([seqs[i] for i in part])
-        best = np.full(len(part), -np.inf)
+        scores = np.stack([aligners[c].scores(codes, lengths) for c in chains]) if len(chains) > 1 else np.zeros((1, len(part)))
+        first = scores.argmax(0)
         chosen: list[tuple] = [()] * len(part)
-        for c in chains:
-            scores, where = aligners[c].align(codes, lengths)
-            identity = aligners[c].identity(codes, where)
-            for r in np.flatnonzero(scores > best):
-                best[r] = scores[r]
-                chosen[r] = (c, where[r], float(identity[r]))
+        for k, c in enumerate(chains):  # only the best chain's alignment is traced back
+            mine = np.flatnonzero(first == k)
+            if mine.size:
+                where = aligners[c].align(codes[mine], lengths[mine])
+                for r, w, identity in zip(mine, where, aligners[c].identity(codes[mine], where)):
+                    chosen[r] = (c, w, float(identity))
         for i, (c, where, identity) in zip(part, chosen):
             numbering = _number(len(seqs[i]), where)
             out[i] = {"numbering": numbering, "percent_identity": identity, "chain": c, "error": _error(seqs[i], numbering, aligners[c].conserved)}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from chainforge.functions.alphabet import hamming, letters_of
 from chainforge.functions.positions import Template, align_cdr
 from chainforge.operators.components import clean_edges, min_label_components
+from chainforge.operators.linkage import bucket_links
 from chainforge.runtime import store
 
 CDR_WIDTHS = {1: 17, 2: 20, 3: 36}
@@ -144,7 +145,8 @@ def single_linkage(prepared: DataFrame, every: DataFrame, settings: SearchSettin
 
     prepared: rows of ``prepare`` with v, j and species set; every: a seq_id column of all rows. Two rows are neighbours if chain
     group, CDR3 length, V gene, species and, unless by_jgene is off, J gene are equal and the cutoffs hold; rows that lack
-    one of them have no neighbours. Only links to be followed leave the join: equal rows are linked to their least id first.
+    one of them have no neighbours. As in one search for each row, the wider budget of the two counts unless the settings are
+    symmetric. Equal rows are collapsed first; no pairs are emitted (see linkage).
     """
     same = ("v", "species", *(["j"] if by_jgene else []))
     s = SearchSettings(settings.mode, settings.cdr_cutoff, settings.blosum_cutoff, 0, settings.symmetric, 0.25)
@@ -153,13 +155,10 @@ def single_linkage(prepared: DataFrame, every: DataFrame, settings: SearchSettin
     reps = rows.groupBy("chain_group", *same, *cdrs).agg(F.min("seq_id").alias("seq_id"), F.count("*").alias("copies"))
     reps = store(prepare_again(reps, by_jgene))
     twins = rows.join(reps.select("chain_group", *same, *cdrs, F.col("seq_id").alias("rep")), ["chain_group", *same, *cdrs]).select(F.col("rep").alias("a"), F.col("seq_id").alias("b"))
-    pairs = candidates(reps, reps, s, same).where("q.seq_id < h.seq_id")
-    near = _distances(pairs, s)
-    if s.blosum_cutoff >= 0:
-        if distances is None:
-            raise ValueError("blosum_cutoff needs distances")
-        near = _blosum(near, s, distances)
-    links = near.select(F.col("q.seq_id").alias("a"), F.col("h.seq_id").alias("b")).unionAll(twins)
+    if s.blosum_cutoff >= 0 and distances is None:
+        raise ValueError("blosum_cutoff needs distances")
+    budgets = _blocks(reps, s, True).withColumn("b12", _budget(F.col("len1") + F.col("len2"), s.cdr_cutoff)).withColumn("b3", _budget(F.col("len3"), s.cdr_cutoff))
+    links = bucket_links(budgets, ["chain_group", "lq", "block", "part", *same], s.mode, s.blosum_cutoff, distances, s.symmetric).unionAll(twins)
     found = store(min_label_components(store(clean_edges(links, "a", "b"))))
     ranks = dense_numbers(found.select("component").distinct(), "component")
     present = prepared.select("seq_id", F.lit(1).alias("present"))

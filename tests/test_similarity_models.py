@@ -301,3 +301,36 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["n"] for r in spark.table("counted").collect()) == 30 and spark.table("counted").count() == 6
+
+
+def test_large_buckets_are_linked_like_all_pairs(spark):
+    from chainforge.operators import linkage
+
+    rng = np.random.default_rng(10)
+    for mode, symmetric, cutoff in (("123", False, -1), ("123", True, -1), ("3", False, -1), ("123", False, 5)):
+        base = rng.integers(65, 70, (4, 30)).astype(np.uint8)
+        a = base[rng.integers(0, 4, 150)]
+        flips = rng.random(a.shape) < 0.08
+        a[flips] = rng.integers(65, 70, flips.sum())
+        table = None if cutoff < 0 else np.abs(np.arange(128)[:, None] - np.arange(128)[None, :]) * 2.0
+        bucket = linkage._Bucket(a[:, :18], a[:, 18:], rng.integers(1, 4, 150), 2, mode, cutoff, table, symmetric)
+        every = np.arange(150)
+        want = linkage._joined(np.arange(150), *np.nonzero(bucket.link(every, every)[0]))
+        assert np.array_equal(bucket.components(), want)
+    rows = [(i, "".join(chr(c) for c in r[:9]), "".join(chr(c) for c in r[9:18]), "".join(chr(c) for c in r[18:]), 2, 2) for i, r in enumerate(a, 1)]
+    df = spark.createDataFrame(rows, "seq_id long, aln1 string, aln2 string, aln3 string, b12 int, b3 int").withColumn("k", F.lit(1))
+    found = []
+    for most in (20_000, 40):
+        links = [(r["a"], r["b"]) for r in linkage.bucket_links(df, ["k"], "3", -1, None, False, most).collect()]
+        parent = {i: i for i in range(1, 151)}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in links:
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+        found.append([find(i) for i in range(1, 151)])
+    assert found[0] == found[1]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainforge.runtime import Stored, store
+from chainforge.runtime import Stored
 
 
 def clean_edges(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -55,5 +55,3 @@ def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     stars = now.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionAll(stars.select("component").distinct().select(F.col("component").alias("node"), "component"))
 
-
-__all__ = ["clean_edges", "min_label_components", "store"]

@@ -8,7 +8,7 @@ folder, so that a lost executor costs one round at most; nothing but a count and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chainforge.runtime import Stored
@@ -43,13 +43,13 @@ def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = Stored(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     state = None
     for _ in range(max_rounds):
-        then = Stored(_star(_star(now.df, True), False))
-        seen = then.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()  # the number and a fingerprint of the edges, taken while they are written
+        then = Stored(_star(_star(now.df, True), False).observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
         now.drop()
         now = then
-        if tuple(seen) == state:
+        if seen.get == state:
             break
-        state = tuple(seen)
+        state = seen.get
     else:
         raise RuntimeError(f"no convergence in {max_rounds} rounds")
     stars = now.df.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -10,6 +10,10 @@ Only records of equal attributes and length can be similar. Such a group goes to
 different records; tasks take many groups. Larger groups are spread by their band keys instead, and a band bucket that is itself
 larger is cut into chunks of which every two meet in a task. No pairs leave a task, only links to the least record of what is linked in
 it, so the output is linear in the records; the links of spread groups are joined by the components operator.
+
+Profiles need the degrees of a cluster, so every two of its records are compared. Clusters of up to ``block_rows`` different records are
+split in one task. In larger ones chunks meet two by two and leave a bit for each pair; parts are then peeled off in rounds, of all
+records at once that nothing within three steps outranks, until what is left of the cluster fits a task.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainforge.operators.components import min_label_components
-from chainforge.runtime import store
+from chainforge.runtime import Stored, store
 
 ROWS, BANDS = 6, 40
 BLOCK_ROWS = 20_000
@@ -278,14 +282,138 @@ def similarity_clusters(df: DataFrame, record_id: Column, letters: Column, attri
     return single.unionAll(copied)
 
 
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Whether each row of a differs from each of b at ``most`` positions or fewer, for 256 rows of a at a time."""
+    columns = np.ascontiguousarray(b.T)
+    for s in range(0, len(a), 256):
+        part = a[s : s + 256]
+        d = np.zeros((len(part), len(b)), np.uint8 if a.shape[1] < 256 else np.int32)
+        for at in range(a.shape[1]):
+            d += part[:, at, None] != columns[at]
+        yield d <= most
+
+
+_BITS = "g long, c int, o int, rep_id long, bits binary"
+
+
+def _pair_bits(members: DataFrame, differ: float) -> DataFrame:
+    """g, c, o, rep_id, bits: for a record of chunk c a bit for each of chunk o, by ``at``, that tells whether the two are alike."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("c", "ascending"), ("at", "ascending")])
+        a, c, reps = _matrix(t["letters"].combine_chunks()), t["c"].to_numpy(), t["rep_id"].to_numpy()
+        most = int(differ * a.shape[1] + 1e-9)
+        out = []
+        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+        for x, y in {(lo, hi), (hi, lo)}:
+            mine, other = np.flatnonzero(c == x), a[c == y]
+            bits = [row.tobytes() for near in _near(a[mine], other, most) for row in np.packbits(near, axis=1)]
+            cols = [pa.array(np.full(len(mine), t["g"][0].as_py()), pa.int64()), pa.array(np.full(len(mine), x), pa.int32()), pa.array(np.full(len(mine), y), pa.int32()), pa.array(reps[mine], pa.int64()), pa.array(bits, pa.binary())]
+            out.append(pa.table(cols, names=["g", "c", "o", "rep_id", "bits"]))
+        return pa.concat_tables(out)
+
+    met = members.select("g", "c", "at", "rep_id", "letters", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
+    met = met.select("g", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "at", "rep_id", "letters")
+    return met.groupBy("g", "lo", "hi").applyInArrow(meet, _BITS)
+
+
+def _best_near(bits: DataFrame, free: DataFrame, asked: DataFrame) -> Stored:
+    """``free`` with near (the number of ``asked`` records alike to each, itself included) and top, the greatest (d, m) of these.
+
+    asked: g, c, at, chunks, d, m.
+    """
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, best, reps = np.zeros(left.num_rows, np.int64), np.full(left.num_rows, -1), left["rep_id"].to_numpy()
+        d, m, at = (right[x].to_numpy() for x in ("d", "m", "at"))
+        if left.num_rows and right.num_rows:
+            order = np.lexsort((m, d))
+            d, m, at = d[order], m[order], at[order]
+            rows = left["bits"].to_pylist()
+            rank = np.arange(len(at))
+            for s in range(0, len(rows), 256):
+                near = np.unpackbits(np.frombuffer(b"".join(rows[s : s + 256]), np.uint8).reshape(len(rows[s : s + 256]), -1), axis=1)[:, at].astype(bool)
+                n[s : s + 256] = near.sum(1)
+                best[s : s + 256] = np.where(near, rank, -1).max(1)
+        hit = np.flatnonzero(best >= 0)
+        return pa.table([pa.array(x, pa.int64()) for x in (reps[hit], n[hit], d[best[hit]], m[best[hit]])], names=["rep_id", "n_near", "d", "m"])
+
+    chunks = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c")
+    spread = asked.select("g", F.col("c").alias("o"), "at", "d", "m", "chunks").select("g", chunks, "o", "at", "d", "m")
+    found = bits.groupBy("g", "c", "o").cogroup(spread.groupBy("g", "c", "o")).applyInArrow(look, "rep_id long, n_near long, d long, m long")
+    found = found.groupBy("rep_id").agg(F.sum("n_near").alias("near"), F.max(F.struct("d", "m")).alias("top"))
+    return Stored(free.join(found, "rep_id", "left"))
+
+
+def _peel(records: DataFrame, differ: float, typical: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(parts, rest) of clusters above block_rows; rest has the records in no part yet, at most block_rows of a cluster.
+
+    records: g (the cluster), length, letters, rep_id, n, count. Taking a part changes the degree of nothing farther than two steps from
+    its medoid. A record that outranks all within three steps is therefore taken in the one-by-one order with the same part and
+    degrees, whatever is taken before it, so that all such records are taken at once. Every round takes one of each cluster at least.
+    """
+    chunks = F.ceil(F.col("count") / max(1, block_rows // 2)).cast("int")
+    dealt = records.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("rep_id"), F.col("chunks")).cast("int"))
+    members = store(dealt.withColumn("at", F.row_number().over(Window.partitionBy("g", "c").orderBy("rep_id")) - 1).drop("count"))
+    bits = store(_pair_bits(members, differ))
+    state = ["g", "c", "at", "chunks", "rep_id", "n"]
+    left = store(members.select(state))
+    taken, rests = [], []
+    while True:
+        sizes = left.groupBy("g").count().where(F.col("count") > block_rows)
+        rests.append(left.join(F.broadcast(sizes), "g", "left_anti").select("g", "rep_id"))
+        free = store(left.join(F.broadcast(sizes), "g").select(state))
+        if free.isEmpty():
+            break
+        own = free.select("g", "c", "at", "chunks", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("m"))
+        steps = [_best_near(bits, free, own)]
+        ranked = steps[0].df.select(*state, (F.col("near") - 1).alias("degree"), (F.col("near") - 1).alias("d"), (-F.col("rep_id")).alias("m"))
+        for _ in range(3):
+            steps.append(_best_near(bits, ranked.select(*state, "degree"), ranked))
+            ranked = steps[-1].df.select(*state, "degree", F.col("top.d").alias("d"), F.col("top.m").alias("m"))
+        medoids = ranked.where("m = -rep_id").select("g", "c", "at", "chunks", F.lit(0).cast("long").alias("d"), "m")
+        found = _best_near(bits, ranked.select(*state, "degree"), medoids).df
+        for step in steps:
+            step.drop()
+        taken.append(found.where("top IS NOT NULL").select("g", "rep_id", "n", "degree", (-F.col("top.m")).alias("medoid_id")))
+        left = found.where("top IS NULL").select(state)
+
+    def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = batch.column("length").to_numpy()
+            d = np.zeros(len(length), np.int64)
+            for value in np.unique(length):
+                same = pa.array(length == value)
+                d[length == value] = (_matrix(batch.column("letters").filter(same)) != _matrix(batch.column("centre").filter(same))).sum(1)
+            keep = batch.select(["g", "rep_id", "n", "degree", "medoid_id"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(d / np.maximum(length, 1))], names=[*keep.schema.names, "far"])
+
+    every = taken[0]
+    for more in taken[1:]:
+        every = every.unionAll(more)
+    centres = members.select(F.col("rep_id").alias("medoid_id"), F.col("letters").alias("centre"))
+    rows = every.join(members.select("rep_id", "length", "letters"), "rep_id").join(centres, "medoid_id").select("g", "rep_id", "n", "degree", "medoid_id", "length", "letters", "centre")
+    rows = rows.mapInArrow(differing, "g long, rep_id long, n long, degree long, medoid_id long, far double")
+    place = F.row_number().over(Window.partitionBy("medoid_id").orderBy((F.col("rep_id") != F.col("medoid_id")), F.desc("degree"), "rep_id"))
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= typical, F.struct("place", "rep_id"))))
+    parts = rows.withColumn("place", place).groupBy(F.col("g").alias("cluster_id"), "medoid_id").agg(
+        F.min("rep_id").alias("part_id"), F.sum("n").alias("n_rows"), F.count("*").alias("n_records"), F.transform(first, lambda x: x["rep_id"]).alias("typical_ids"), F.max("far").alias("radius")
+    )
+    rest = rests[0]
+    for more in rests[1:]:
+        rest = rest.unionAll(more)
+    rest = rest.join(members.select("rep_id", "length", "letters", "n"), "rep_id").select("g", "length", "letters", "rep_id", "n")
+    return parts.select("cluster_id", "part_id", "n_rows", "n_records", "medoid_id", "typical_ids", "radius"), rest
+
+
 def cluster_profiles(df: DataFrame, record_id: Column, letters: Column, attributes: list[Column], differ: float = 0.1, typical: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """cluster_id, part_id, n_rows, n_records, medoid_id, typical_ids, radius: each cluster split into tight parts and described.
 
     A part forms around the record of the highest degree (alike records of the cluster that are in no part yet; ties go to the least
     id) and takes all that are alike to it, until every record is in one; a cluster whose records are all alike to its medoid is one
     part, and only loose ones are split. typical_ids are up to ``typical`` records of the part by degree, the medoid first; radius is
-    the largest share of differing positions to the medoid. A cluster of more than block_rows different records is described as
-    one part around the record nearest to its letter-by-letter consensus. Clusters of one row don't come out.
+    the largest share of differing positions to the medoid. Parts are the same at every size: block_rows only decides whether a
+    cluster is split in one task or in rounds over many. Clusters of one row don't come out.
     """
     _, records = distinct_records(df, record_id, letters, attributes)
     found = record_clusters(records, differ, block_rows)
@@ -304,14 +432,6 @@ def cluster_profiles(df: DataFrame, record_id: Column, letters: Column, attribut
                 return (rows != rows[i]).sum(1)
 
             free = np.ones(m, bool)
-            if m > block_rows:
-                counts = np.zeros((length, 27), np.int64)
-                for letter in range(27):
-                    counts[:, letter] = ((rows == letter) * copies[:, None]).sum(0)
-                centre = np.lexsort((ids, (rows != counts.argmax(1)).sum(1)))
-                d = far(centre[0])
-                out.append({"cluster_id": int(g[s]), "part_id": int(ids.min()), "n_rows": int(copies.sum()), "n_records": int(m), "medoid_id": int(ids[centre[0]]), "typical_ids": ids[centre[:typical]].tolist(), "radius": float(d.max() / max(length, 1))})
-                continue
             degree = np.array([(far(i) <= most).sum() - 1 for i in range(m)])
             while free.any():
                 left = np.flatnonzero(free)
@@ -327,4 +447,13 @@ def cluster_profiles(df: DataFrame, record_id: Column, letters: Column, attribut
 
     schema = pa.schema([("cluster_id", pa.int64()), ("part_id", pa.int64()), ("n_rows", pa.int64()), ("n_records", pa.int64()), ("medoid_id", pa.int64()), ("typical_ids", pa.list_(pa.int64())), ("radius", pa.float64())])
     slim = joined.select("g", "length", "letters", "rep_id", "n")
-    return slim.repartition("g").sortWithinPartitions("length", "g").mapInArrow(_by_block(work, block_rows), "cluster_id long, part_id long, n_rows long, n_records long, medoid_id long, typical_ids array<long>, radius double")
+    out_type = "cluster_id long, part_id long, n_rows long, n_records long, medoid_id long, typical_ids array<long>, radius double"
+
+    def split(rows: DataFrame) -> DataFrame:
+        return rows.repartition("g").sortWithinPartitions("length", "g").mapInArrow(_by_block(work, block_rows), out_type)
+
+    large = store(slim.groupBy("g").count().where(F.col("count") > block_rows))  # at most records / block_rows
+    if large.isEmpty():
+        return split(slim)
+    parts, rest = _peel(slim.join(F.broadcast(large), "g"), differ, typical, block_rows)
+    return split(slim.join(F.broadcast(large), "g", "left_anti").unionAll(rest)).unionAll(parts)

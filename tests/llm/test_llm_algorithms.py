@@ -102,6 +102,16 @@ def test_similarity_clusters_equal_brute_force(spark):
     assert sc.similarity_clusters(df.limit(0), F.col("i"), F.col("s"), [F.col("v")]).count() == 0
 
 
+def test_profiles_are_the_same_at_every_size(spark):
+    rng = random.Random(8)
+    rows = [(i, s, "v") for i, s in enumerate(_mutants(rng, 40, 40, 1), 1)] + [(500, "", "v"), (501, "", "v")]
+    rows += [(600 + i, rows[i][1], "v") for i in range(9)]
+    df = spark.createDataFrame(rows, "i long, s string, v string")
+    one, many = ({tuple(map(str, r)) for r in sc.cluster_profiles(df, F.col("i"), F.col("s"), [F.col("v")], block_rows=block).collect()} for block in (20_000, 8))
+    assert one == many
+    assert any(int(r[3]) > 5 for r in one) and len({r[0] for r in one}) < len(one)
+
+
 def test_large_runs_are_linked_like_all_pairs():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 20, (3, 50)).astype(np.uint8)

@@ -28,12 +28,17 @@ LOCI = "IGHV IGHD IGHJ IGKV IGKJ IGLV IGLJ TRAV TRAJ TRBV TRBD TRBJ TRGV TRGJ TR
 #: Letters typed for one another, on sight or on the keyboard.
 _ALIKE = {frozenset(p) for p in ("il", "vu", "vb", "jh")}
 BOUND = 2.0
+#: Characters of a value without notes, species, trailing marks and repeated separators. What is longer has tens of letters before its
+#: number and is no locus.
 LONGEST = 500
 _BEFORE = re.compile(
     r"^(?:h(?:omo)?\b\.?\s*sapiens|human|hum|hu|m(?:us)?\b\.?\s*musculus|mus|mouse|murine|mu|o\.?\s*cuniculus|oryctolagus(?:\s+cuniculus)?|rabbit|rab|v\.?\s*pacos|vicugna(?:\s+pacos)?|alpaca|llama|camelid)\b\.?\s*[-:,]?\s*"
 )
-_NOTES = re.compile(r"\([^)]*\)|\[[^\]]*\]|\d+(?:\.\d+)?\s*%\s*(?:id\w*)?")
-_AFTER = re.compile(r"(?:\b(?:gene|orf|pseudogene|functional|f|p)\b|[\s.,;:?!*^#_/-])+$")
+_OPEN = re.compile(r"[(\[]")
+_PERCENT = re.compile(r"(?<!\d)\d+(?:\.\d+)?\s*%\s*(?:id\w*)?")
+_LAST_WORDS = ("pseudogene", "functional", "gene", "orf", "f", "p")
+_LAST_MARKS = ".,;:?!*^#_/-"
+_MARKS = re.compile(r"[\s*:^#_\-./,]{2,}")
 _N = r"([0-9oil]{1,4})"
 _DIGITS = r"([0-9][0-9oil]{0,3})"
 _GAP = r"[\s\-_./,]*"
@@ -51,20 +56,52 @@ def _number(s: str | None) -> int | None:
     return None if s is None else int(s.translate(str.maketrans("oil", "011")))
 
 
+def _without_notes(s: str) -> str:
+    """s without what is in brackets and without percentages, in linear time also for brackets that are never closed."""
+    out, begin, at, closers = [], 0, 0, {"(": ")", "[": "]"}
+    while m := _OPEN.search(s, at):
+        closer = closers.get(m[0])
+        end = s.find(closer, m.end()) if closer else -1
+        at = m.end()
+        if end < 0:
+            closers[m[0]] = None
+            continue
+        out.append(s[begin : m.start()])
+        begin = at = end + 1
+    return " ".join(_PERCENT.sub(" ", x) for x in (*out, s[begin:]))
+
+
+def _without_last_words(s: str) -> str:
+    """s without trailing marks and words such as gene or functional."""
+
+    def in_word(i: int) -> bool:
+        return 0 <= i < len(s) and (s[i].isalnum() or s[i] == "_")
+
+    end = len(s)
+    while True:
+        while end and (s[end - 1].isspace() or s[end - 1] in _LAST_MARKS):
+            end -= 1
+        word = next((w for w in _LAST_WORDS if s.endswith(w, 0, end) and not in_word(end - len(w) - 1) and not in_word(end)), None)
+        if word is None:
+            return s[:end]
+        end -= len(word)
+
+
 def readings(value: str, pair: bool) -> list[tuple[str, tuple[int, ...], int | None]]:
     """What a value may say: (letters of the locus, numbers, allele or None), the plainest first; none if it is no gene name.
 
     pair: names have family and gene. Later readings take a letter before the first digit for a digit (IGKJl*01), or leave out a
-    first word (rattus: IGHV1-2*01). A value of more than LONGEST characters is no gene name.
+    first word (rattus: IGHV1-2*01). Notes, padding and separators may be of any length; what is left without them is no gene name if it is longer than LONGEST.
     """
-    if len(value) > LONGEST:
-        return []
     s = unicodedata.normalize("NFKC", value).casefold()
-    s = re.sub(r"[‐-―−]", "-", "".join(ch for ch in s if unicodedata.category(ch) != "Cf")).strip()
-    s = _BEFORE.sub("", _NOTES.sub(" ", s).strip())
-    s = _AFTER.sub("", s)
+    s = re.sub(r"[‐-―−]", "-", "".join(ch for ch in s if unicodedata.category(ch) != "Cf"))
+    s = _BEFORE.sub("", " ".join(_without_notes(" ".join(s.split())).split()))
+    s = _without_last_words(s)
     out = []
     for t in dict.fromkeys((s, re.sub(r"^[a-z.]+\s*[:\-]?\s+", "", s))):
+        t = _MARKS.sub(lambda m: "".join(dict.fromkeys(m[0])), t)  # only which separators there are matters, not how many
+        if len(t) > LONGEST:
+            continue
         for shape in _SHAPES[pair]:
             m = shape.fullmatch(t)
             if m:

@@ -143,6 +143,16 @@ def test_names_are_read_as_meant():
     assert NameIndex([]).find("IGHV1-2*01")[0] == 0
 
 
+def test_names_with_long_notes_and_padding():
+    index = NameIndex([(*e, 0) for e in ENTRIES])
+    note = "see the notebook of last year, 12.5 % id; " * 200
+    meant = {
+        f"IGHV1-2*01 ({note})": 1, f"[{note}] IGHV1-2*02 gene" + " ;" * 5000: 2, " \n" * 5000 + "human: IGHV3-7*01": 3, "IGHV" + " -" * 5000 + "1-2*01": 1, "IGHV3-7" + "*" * 5000 + "01": 3,
+        "rattus - IGHV1S34*01" + " orf" * 2000: 4, "(" * 100_000 + "IGHV1-2*01": 0, "1" * 100_000 + "x": 0, "IGHV1-2" + "-" * 100_000 + "x": 0, "1.1" * 50_000: 0, "i g" * 50_000: 0, "[(" * 50_000: 0,
+    }
+    assert {v: index.find(v)[0] for v in meant} == meant
+
+
 def test_distance_and_deletions():
     assert distance("ighv", "ighv") == 0 and distance("igvh", "ighv") == 1 and distance("lghv", "ighv") == 0.75 and distance("", "ab") == 2
     rng = random.Random(7)

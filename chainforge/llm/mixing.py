@@ -20,12 +20,12 @@ def _cdf(mean: float, n: int) -> list[float]:
     """P(N <= 0), ..., P(N <= n - 1) of a Poisson distribution, up to the next bin border; all 0 for an infinite mean."""
     if math.isinf(mean):
         return [0.0] * n
-    term = math.exp(-mean)
-    out, total = [], 0.0
+    if not mean:
+        return [1.0] * n
+    out, total, log = [], 0.0, math.log(mean)
     for k in range(n):
-        total += term
+        total += math.exp(k * log - mean - math.lgamma(k + 1))  # exp(-mean) alone is 0 from a mean of 745 on
         out.append(min(math.ceil(total * _BINS - 1e-9) / _BINS, 1.0))
-        term *= mean / (k + 1)
     return out
 
 
@@ -50,7 +50,7 @@ def _mean_for(wanted: float, cap: int, tail: _Tail) -> float:
         return math.inf
     got = lambda m: sum(map(tail, _cdf(m, cap)))
     low, high = 0.0, 1.0
-    while got(high) < wanted and high < 700:
+    while got(high) < wanted:  # ends: with a mean far above the cap every document has cap copies
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2

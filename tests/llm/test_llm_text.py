@@ -169,3 +169,10 @@ def test_cells_and_labels(spark):
     assert all(r["g"] == r["w"] for r in df.withColumn("g", languages.label_language(F.col("l"))).collect())
 
 
+def test_means_above_where_exp_underflows():
+    tail = mixing._Tail([(b, 1) for b in range(mixing._BINS)])
+    for wanted in (700, 800, 1500, 1990):
+        mean = mixing._mean_for(wanted * mixing._BINS, 2000, tail)
+        got = sum(map(tail, mixing._cdf(mean, 2000)))
+        assert abs(got / mixing._BINS - wanted) < 0.1
+        assert wanted > 1900 or abs(mean - wanted) < 1

@@ -79,7 +79,7 @@ def m7_em_one_step(spark, sf):
 def m7_em_fit(spark, sf):
     m = CategoricalMixture(4, WIDTH)
     t = aligned_cdrs(spark, sf)
-    m.fit(t, _codes(), max_iter=8, n_restarts=1)
+    m.fit(t, _codes())
     return m.predict(t, _codes()).groupBy("cluster").agg(F.count("*").alias("n"))
 
 

@@ -12,6 +12,7 @@ from chainforge.functions.substitution import mismatch_distances
 from chainforge.operators import search as se
 from chainforge.operators.mixture import CategoricalMixture, logsumexp, masked
 from chainforge.operators.scoring import SequenceScorer
+from chainforge.plans import models
 
 AA = alphabet.RESIDUES
 
@@ -334,3 +335,12 @@ def test_large_buckets_are_linked_like_all_pairs(spark):
             parent[max(x, y)] = min(x, y)
         found.append([find(i) for i in range(1, 151)])
     assert found[0] == found[1]
+
+
+def test_registered_fit_runs_until_the_tolerance_is_met(spark, sf, monkeypatch):
+    starts, fits = [], []
+    initialise, fit = CategoricalMixture.initialise, CategoricalMixture.fit
+    monkeypatch.setattr(CategoricalMixture, "initialise", lambda self, seed: (starts.append(seed), initialise(self, seed))[1])
+    monkeypatch.setattr(CategoricalMixture, "fit", lambda self, *a, **k: (fits.append(fit(self, *a, **k)), fits[-1])[1])
+    assert models.m7_em_fit(spark, sf).count() > 0
+    assert fits[0].converged and len(starts) == 3

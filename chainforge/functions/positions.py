@@ -176,16 +176,44 @@ def imgt_cdr_codes(cdr: int, length: int) -> tuple[str, ...]:
     to_right, to_left = (over + 1) // 2, over // 2
 
     def letter(i: int) -> str:
-        return chr(65 + i) if i < 26 else chr(64 + i // 26) + chr(65 + i % 26)
+        return (letter(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
 
     out = [str(first + i) for i in range(left)] + [f"{left_base}{letter(i)}" for i in range(to_left)]
     return (*out, *(f"{right_base}{letter(i)}" for i in reversed(range(to_right))), *(str(first + n - right + i) for i in range(right)))
 
 
+def _imgt_cdr_codes(n: Column, cdr: int) -> Column:
+    """The same for a column of lengths."""
+    first, positions, left_base, right_base = _IMGT_CDRS[cdr]
+    base = F.least(n, F.lit(positions))
+    over = n - base
+
+    def half(x: Column) -> Column:
+        return F.shiftright(x, 1)
+
+    def letter(i: Column) -> Column:
+        out, skip = None, 0
+        for size in range(1, 7):
+            text = F.concat(*(F.char((F.floor((i - skip) / 26**k) % 26 + 65).cast("int")) for k in reversed(range(size))))
+            out = F.when(i < skip + 26**size, text) if out is None else out.when(i < skip + 26**size, text)
+            skip += 26**size
+        return out
+
+    def codes(count: Column, make) -> Column:
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), make)).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(
+        codes(half(base + 1), lambda i: (i + first).cast("string")),
+        codes(half(over), lambda i: F.concat(F.lit(str(left_base)), letter(i))),
+        F.reverse(codes(half(over + 1), lambda i: F.concat(F.lit(str(right_base)), letter(i)))),
+        codes(half(base), lambda i: (i + first + positions - half(base)).cast("string")),
+    )
+
+
 def number_imgt_cdr(seq: Column, cdr: int, longest: int = 60) -> Column:
-    """array<string> of codes for an isolated CDR; longer ones than ``longest`` raise an error."""
+    """array<string> of codes for an isolated CDR of any length; up to ``longest`` letters they are looked up, beyond it made from the length."""
     table = F.array(*(F.array(*(F.lit(c) for c in imgt_cdr_codes(cdr, n))) if n else F.array().cast("array<string>") for n in range(longest + 1)))
-    return F.when(seq.isNull(), F.lit(None)).when(F.length(seq) > longest, F.raise_error(F.lit("CDR too long"))).otherwise(F.element_at(table, F.length(seq) + 1))
+    return F.when(seq.isNull(), F.lit(None)).when(F.length(seq) > longest, _imgt_cdr_codes(F.length(seq), cdr)).otherwise(F.element_at(table, F.length(seq) + 1))
 
 
 def align_cdr(seq: Column, width: int) -> Column:

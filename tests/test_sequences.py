@@ -67,6 +67,15 @@ def test_trim(spark):
         spark.createDataFrame([("ABC", ["1"])], "s string, n array<string>").select(positions.trim_alignment(F.col("s"), F.col("n"))).collect()
 
 
+def test_cdr_numbering_of_any_length(spark):
+    sizes = [0, 1, 12, 13, 20, 60, 61, 62, 65, 66, 67, 119, 120, 1416, 1417, 1418, 1500]
+    df = spark.createDataFrame([("A" * n,) for n in sizes] + [(None,)], "s string")
+    for cdr in (1, 2, 3):
+        for longest in (60, 3):
+            got = {len(r[0]): r[1] for r in df.select("s", positions.number_imgt_cdr(F.col("s"), cdr, longest)).collect() if r[0] is not None}
+            assert all(tuple(got[n]) == positions.imgt_cdr_codes(cdr, n) and len(set(got[n])) == n for n in sizes)
+
+
 def test_cdr_numbering_by_length():
     assert positions.imgt_cdr_codes(3, 4) == ("105", "106", "116", "117")
     assert positions.imgt_cdr_codes(3, 14)[6:9] == ("111", "112A", "112") and positions.imgt_cdr_codes(3, 15)[6:9] == ("111", "111A", "112A")

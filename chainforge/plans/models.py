@@ -14,7 +14,7 @@ from chainforge.operators.mixture import CategoricalMixture, masked
 from chainforge.operators.scoring import SequenceScorer
 from chainforge.plans.sequences import NUM, TEMPLATE, _aligned, _list, numbered
 from chainforge.plans.typed import typed
-from chainforge.runtime import table
+from chainforge.runtime import spread, store, table
 
 K, WIDTH = 3, 20
 
@@ -131,10 +131,69 @@ def h11_humanize(spark, sf):
     return got.select("seq_id", F.round("new_score", 6).alias("new_score"), F.array_join("mutations", ",").alias("mutations"), "new_seq")
 
 
+
+# the same over both chains of a row; seq_id and side name a chain
+
+LIGHT = positions.Template(positions.canonical_numbering("imgt", "L"), "L", "imgt")
+
+
+def _both_scorer(normalization: str = "none") -> SequenceScorer:
+    return SequenceScorer({"H": rule_model(len(TEMPLATE.codes)), "L": rule_model(len(LIGHT.codes))}, {"H": TEMPLATE, "L": LIGHT}, normalization)
+
+
+def both_chains(spark, sf) -> DataFrame:
+    """chain_id (seq_id_side), seq_id, side, seq, num, chain: heavy chains as H, light ones as K if their V gene says so, else as L."""
+    t = table(spark, sf, "full_chains")
+
+    def side(name: str, chain) -> DataFrame:
+        got = t.where(F.col(f"{name}_numbering").isNotNull() & F.col(f"{name}_chain").rlike(r"^[A-Z]+\z"))
+        got = got.select(F.concat_ws("_", "seq_id", F.lit(name)).alias("chain_id"), "seq_id", F.lit(name).alias("side"), F.col(f"{name}_chain").alias("seq"), F.split(f"{name}_numbering", "_").alias("num"), chain.alias("chain"))
+        return got.where("size(num) = length(seq)")
+
+    kappa = F.coalesce(F.upper("light_vgene").startswith("IGK"), F.lit(False))
+    return spread(side("heavy", F.lit("H")).unionAll(side("light", F.when(kappa, "K").otherwise("L"))))
+
+
+def _both_prepared(spark, sf) -> DataFrame:
+    return _both_scorer().prepare(both_chains(spark, sf), F.col("seq"), F.col("num"), F.col("chain"))
+
+
+def h2_both_prepared(spark, sf):
+    return _both_prepared(spark, sf).select("chain_id", "aligned", "chain_type")
+
+
+def h5_both_diagnostics(spark, sf):
+    got = _both_scorer().diagnostics(both_chains(spark, sf), F.col("num"), F.col("chain"))
+    return got.select("chain_id", F.array_join("gapped", "_").alias("gapped"), F.array_join("unusual", "_").alias("unusual"), "chain_type")
+
+
+def h6_both_scores(spark, sf):
+    rows = store(_both_prepared(spark, sf).select("chain_id", "aligned", "chain_type"))  # each model and score reads it
+    plain = _both_scorer("training_set_adjust").score(rows).select("chain_id", F.round("value", 6).alias("adjusted"))
+    mean = _both_scorer("normalize").score(rows, mask_all_gaps=True).select("chain_id", F.round("value", 6).alias("normalised"))
+    return plain.join(mean, "chain_id")
+
+
+def h7_both_topn(spark, sf):
+    got = _both_scorer().closest_clusters(_both_prepared(spark, sf), "chain_id", 2)
+    return got.select("chain_id", "rank", "cluster", F.round("log_joint", 6).alias("log_joint"))
+
+
+def h10_both_per_residue(spark, sf):
+    got = _both_scorer().residue_probabilities(_both_prepared(spark, sf), "chain_id", (F.split_part("chain_id", F.lit("_"), F.lit(1)).cast("long") % K).cast("int"))
+    return got.withColumn("log_p", F.round("log_p", 6))
+
+
+def h11_both_humanize(spark, sf):
+    got = _both_scorer().humanize(_both_prepared(spark, sf), "seq", "num")
+    return got.select("chain_id", F.round("new_score", 6).alias("new_score"), F.array_join("mutations", ",").alias("mutations"), "new_seq")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         m1_user_mask, m2_terminal_mask, m3_gap_mask, m4_score, m5_predict, m6_log_joint, m7_em_one_step, m7_em_fit, m10_bic_aic, m14_profiles, h2_prepared_sequences, h5_diagnostics, h6_score_by_chain, h7_topn_clusters, h10_per_residue, h11_humanize,
+        h2_both_prepared, h5_both_diagnostics, h6_both_scores, h7_both_topn, h10_both_per_residue, h11_both_humanize,
     )
 }
 
@@ -186,6 +245,21 @@ SELECT x.seq_id, round(score + 59.5617, 6) AS adjusted, round(mean, 6) AS normal
 SELECT seq_id, cell.pos::int AS pos, ({_list(TEMPLATE.codes)})[cell.pos + 1] AS code, cell.aa, round(ln(mu.p), 6) AS log_p, best_aa FROM cell JOIN mu ON mu.k = seq_id % {K} AND mu.pos = cell.pos AND mu.aa = cell.aa JOIN best ON best.k = mu.k AND best.pos = mu.pos WHERE cell.aa <> '-'""",
 }
 
+
+
+def _both(sql: str) -> str:
+    """A heavy-chain statement over both chains: once as it is and once with the light chain's columns, template and adjustment."""
+    light = sql.replace("heavy_", "light_").replace(_list(TEMPLATE.codes), _list(LIGHT.codes)).replace(f"range(0, {len(TEMPLATE.codes)})", f"range(0, {len(LIGHT.codes)})")
+    light = light.replace("'H' AS chain_type", "'L' AS chain_type").replace("THEN 'H' END", "THEN 'L' END").replace("59.5617", "33.22445")
+    one = "SELECT seq_id || '_{side}' AS chain_id, * EXCLUDE (seq_id) FROM ({sql})"
+    return one.format(side="heavy", sql=sql) + " UNION ALL " + one.format(side="light", sql=light)
+
+
+SQL |= {
+    new: _both(SQL[old])
+    for new, old in {"h2_both_prepared": "h2_prepared_sequences", "h5_both_diagnostics": "h5_diagnostics", "h6_both_scores": "h6_score_by_chain", "h7_both_topn": "h7_topn_clusters", "h10_both_per_residue": "h10_per_residue"}.items()
+}
+
 #: Columns whose type in SQL isn"t that of the query.
-_TYPES = {"m6_log_joint": {"k": "INTEGER"}, "m7_em_one_step": {"k": "INTEGER", "pos": "INTEGER"}, "h7_topn_clusters": {"rank": "INTEGER"}}
+_TYPES = {"m6_log_joint": {"k": "INTEGER"}, "m7_em_one_step": {"k": "INTEGER", "pos": "INTEGER"}, "h7_topn_clusters": {"rank": "INTEGER"}, "h7_both_topn": {"rank": "INTEGER"}}
 SQL |= {name: typed(SQL[name], types) for name, types in _TYPES.items()}

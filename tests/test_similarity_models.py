@@ -344,3 +344,18 @@ def test_registered_fit_runs_until_the_tolerance_is_met(spark, sf, monkeypatch):
     monkeypatch.setattr(CategoricalMixture, "fit", lambda self, *a, **k: (fits.append(fit(self, *a, **k)), fits[-1])[1])
     assert models.m7_em_fit(spark, sf).count() > 0
     assert fits[0].converged and len(starts) == 3
+
+
+def test_light_chains_are_scored_by_their_own_model(spark, sf):
+    scorer = models._both_scorer("training_set_adjust")
+    chains = models.both_chains(spark, sf)
+    assert {r[0] for r in chains.select("chain").distinct().collect()} == {"H", "K", "L"}
+    got = {r["chain_id"]: r for r in scorer.score(scorer.prepare(chains, F.col("seq"), F.col("num"), F.col("chain"))).collect()}
+    assert len(got) == chains.count()
+    kappa = next(r for r in got.values() if r["chain"] == "K" and r["aligned"])
+    model = models.rule_model(len(models.LIGHT.codes))
+    x = [alphabet.ALPHABET.index(a) for a in kappa["aligned"]]
+    joint = np.log(model.parameters()[0])[:, np.arange(len(x)), x].sum(1) + np.log(model.parameters()[1])
+    assert kappa["chain_type"] == "L" and abs(kappa["value"] - logsumexp(joint[:, None])[0] - 33.22445) < 1e-6
+    new = {r["chain_id"] for r in models.h11_both_humanize(spark, sf).where("new_score IS NOT NULL").collect()}
+    assert kappa["chain_id"] in new

@@ -195,12 +195,27 @@ def v11_paired_panel(spark, sf):
     return ga.paired_panel(side("heavy", TEMPLATE), side("light", light_template), "seq_id", width, len(light_template.codes))
 
 
+
+def v11_annotated_panel(spark, sf):
+    """The panel with numberings and percent identities of the annotation of each chain."""
+    profiles = ann.chain_profiles(germlines(spark, sf))
+    light_template = positions.Template(positions.canonical_numbering("imgt", "L"), "L", "imgt")
+    t = table(spark, sf, "full_chains")
+
+    def side(name, template, chains):
+        s = spread(t.where(F.col(f"{name}_chain").rlike(r"^[A-Z]+\z")).select("seq_id", F.col(f"{name}_chain").alias("seq")))
+        got = ann.annotate(s, F.col("seq"), profiles, chains).where("annotation.chain IS NOT NULL")
+        return got.select("seq_id", template.align(F.col("seq"), F.col("annotation.numbering")).alias("aligned"), F.round("annotation.percent_identity", 6).alias("identity"))
+
+    return ga.paired_panel(side("heavy", TEMPLATE, ("H",)), side("light", light_template, ("K", "L")), "seq_id", len(TEMPLATE.codes), len(light_template.codes))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         f1_valid_alphabet, f2_clean_sequence, e1_encode_position_counts, a1_group_counts, n1_annotate, n2_paired_annotate, n3_prefilter, n4_trim, n5_sort_codes, n6_region_labels,
         n7_cdr_numbering, n8_msa, n9_template_align, n10_unusual_positions, n12_region_slice, n14_alignment_maps, n16_cdr_text, l1_liabilities, l3_liability_by_severity,
-        v1_identity_argmax, v2_evalue_argmax, v3_any_species, v4_gene_parse, v5_gene_reassemble, v6_gene_sequences, v7_gene_lists, v10_gene_comparison, v11_paired_panel,
+        v1_identity_argmax, v2_evalue_argmax, v3_any_species, v4_gene_parse, v5_gene_reassemble, v6_gene_sequences, v7_gene_lists, v10_gene_comparison, v11_paired_panel, v11_annotated_panel,
     )
 }
 

@@ -11,6 +11,7 @@ from chainforge.functions import alphabet, genes, liabilities, positions
 from chainforge.functions.substitution import default_scores, mismatch_distances, mismatch_table
 from chainforge.operators import annotate as ann
 from chainforge.operators import gene_assignment as ga
+from chainforge.plans import sequences
 from chainforge.sources import files
 
 AA = alphabet.RESIDUES
@@ -360,3 +361,19 @@ def test_schemes_convert_there_and_back(spark):
     assert all(f == found[0] for f in found) and found[0][1][:2] == ("IGHV2-1*01", "IGHJ2*01")
     with pytest.raises(ValueError):
         ann.annotate(seqs, F.col("s"), ann.chain_profiles(g), ["H"], scheme="chothia")
+
+
+def test_panel_shows_the_identity_of_the_annotation(spark, sf):
+    profiles = ann.chain_profiles(sequences.germlines(spark, sf))
+    rows = {r["seq_id"]: r for r in sequences.table(spark, sf, "full_chains").collect()}
+    panel = sequences.v11_annotated_panel(spark, sf).limit(40).collect()
+    assert panel
+    for r in panel:
+        for side, chains in (("heavy", ["H"]), ("light", ["K", "L"])):
+            s = rows[r["seq_id"]][f"{side}_chain"]
+            clean = s is not None and re.fullmatch("[A-Z]+", s)
+            want = ann.annotate_batch([s], profiles, chains)[0] if clean else None
+            if want is None or want["chain"] is None:
+                assert r[f"{side}_identity"] == 0 and set(r[f"{side}_aligned"]) == {"-"}
+            else:
+                assert abs(r[f"{side}_identity"] - want["percent_identity"]) < 1e-6

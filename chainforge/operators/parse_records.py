@@ -1,8 +1,9 @@
 r"""Loading delimited record lines with the bad ones set apart.
 
-Every block of lines (an Arrow batch) is parsed at once on the columnar CSV reader and checked by vectorised predicates. A block that
-does not pass as a whole is cut in two and each half tried again, so that a bad record costs a few bulk parses of
-ever smaller pieces; the lines of the smallest failing pieces are diagnosed by a strict scanner, which alone decides the reason.
+Every block of lines (an Arrow batch) is parsed at once on the columnar CSV reader and checked by vectorised predicates. In a block that
+does not pass as a whole, the predicates mark suspects: lines whose quotes or number of commas don't make the named fields, or whose values
+are invalid. The block is cut at them, and what is left is parsed again; a piece that still fails is bisected down to single lines. Only
+the suspects and such single lines are diagnosed by a strict scanner, which alone decides the reason.
 
 Grammar: fields are separated by commas. A field that begins with a double quote ends at a double quote that stands directly before
 a comma or the end of the line, holds commas and line breaks freely, and doubles every double quote inside. A double quote anywhere
@@ -26,10 +27,8 @@ from pyspark.sql import functions as F
 from chainforge.runtime import spread
 
 FIELDS = ("seqinfo", "sequence", "vgene", "jgene", "species")
-#: A failing block of at most so many lines is diagnosed line by line, which is then cheaper than parsing its halves.
-LEAF = 64
 _LETTERS = r"\A[ACDEFGHIKLMNPQRSTVWYX]+\z"
-#: What a valid line looks like; RE2 runs it over a whole column. It is asked of lines with a quote only.
+#: What a line of the right shape looks like; RE2 runs it over a whole column. It is asked of lines with a quote only.
 _SHAPE = r'(?s)\A(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*)){%d}\z'
 
 
@@ -77,54 +76,58 @@ def diagnose(line: str, n_fields: int = len(FIELDS)) -> tuple[list[str] | None,
     return fields, None
 
 
-def _bulk(lines: pa.Array, n_fields: int) -> pa.Table | None:
-    """The columns of lines that are all valid, else None. A None may be wrong, a table never is."""
-    text = "\n".join(lines.to_pylist())
-    if "\r" in text or "\x00" in text or text.startswith("﻿"):  # the reader would read them in its own way
-        return None
-    if '"' in text:
-        quoted = lines.filter(pc.match_substring(lines, '"'))
-        if not pc.all(pc.match_substring_regex(quoted, _SHAPE % (n_fields - 1))).as_py():
-            return None
+def _set_apart(lines: pa.Array, n_fields: int) -> np.ndarray:
+    """Which lines the reader must not get: of a wrong shape, or with characters that it reads in its own way."""
+    quoted = pc.match_substring(lines, '"')
+    torn = pc.or_(pc.not_equal(pc.count_substring(lines, ","), n_fields - 1), pc.match_substring(lines, "\n"))  # of a line without quotes
+    odd = pc.or_(pc.match_substring_regex(lines, r"[\r\x00]|\A\x{FEFF}"), pc.and_not(torn, quoted)).to_numpy(zero_copy_only=False).copy()
+    shaped = pc.match_substring_regex(lines.filter(quoted), _SHAPE % (n_fields - 1)).to_numpy(zero_copy_only=False)
+    odd[np.flatnonzero(quoted.to_numpy(zero_copy_only=False))] |= ~shaped
+    return odd
+
+
+def _read(lines: pa.Array, n_fields: int) -> pa.Table | None:
+    """The columns of lines of the right shape on the columnar reader; None if it fails on them."""
+    text = "\n".join(lines.to_pylist()).encode()
     names = [str(i) for i in range(n_fields)]
     try:
         got = pacsv.read_csv(
-            io.BytesIO(text.encode()),
-            read_options=pacsv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 20, 2 * len(text.encode()))),
+            io.BytesIO(text),
+            read_options=pacsv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 20, 2 * len(text))),
             parse_options=pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
             convert_options=pacsv.ConvertOptions(column_types={n: pa.string() for n in names}, strings_can_be_null=False, quoted_strings_can_be_null=False),
-        ).combine_chunks()
+        )
     except pa.ArrowInvalid:
         return None
-    if got.num_rows != len(lines):
-        return None
-    blank = pc.equal(pc.utf8_length(pc.utf8_trim_whitespace(got.column(0))), 0)
-    good = pc.and_(pc.invert(blank), pc.match_substring_regex(got.column(1), _LETTERS))
-    return got if pc.all(good).as_py() else None
-
-
-def _split(lines: pa.Array, n_fields: int, at: int, good: list, bad: list) -> None:
-    """Append (indices, columns) pieces to good and (index, reason) to bad; bisects, so at most log2(block) calls deep."""
-    if not len(lines):
-        return
-    if (columns := _bulk(lines, n_fields)) is not None:
-        good.append((np.arange(at, at + len(lines)), columns.columns))
-    elif len(lines) <= LEAF:
-        kept: list[list[str]] = []
-        where: list[int] = []
-        for i, line in enumerate(lines.to_pylist(), at):
-            fields, reason = diagnose(line, n_fields)
-            if reason:
-                bad.append((i, reason))
-            else:
-                where.append(i)
-                kept.append(fields)
-        if kept:
-            good.append((np.array(where), [pa.array(c, pa.string()) for c in zip(*kept)]))
-    else:
-        half = len(lines) // 2
-        _split(lines.slice(0, half), n_fields, at, good, bad)
-        _split(lines.slice(half), n_fields, at + half, good, bad)
+    return got.combine_chunks() if got.num_rows == len(lines) else None
+
+
+def _invalid(t: pa.Table) -> np.ndarray:
+    """Which rows have a blank first field or a second that is not letters of the alphabet."""
+    blank = pc.equal(pc.utf8_length(pc.utf8_trim_whitespace(t.column(0))), 0)
+    return pc.or_(blank, pc.invert(pc.match_substring_regex(t.column(1), _LETTERS))).to_numpy()
+
+
+def _split(lines: pa.Array, n_fields: int) -> tuple[list[tuple[np.ndarray, pa.Table]], np.ndarray]:
+    """(pieces of row numbers and their columns, all valid; the numbers of the lines for the strict scanner)."""
+    odd = _set_apart(lines, n_fields)
+    good: list[tuple[np.ndarray, pa.Table]] = []
+    alone = [np.flatnonzero(odd)]
+    todo = [np.flatnonzero(~odd)]
+    while todo:
+        at = todo.pop()
+        if not len(at):
+            continue
+        t = _read(lines if len(at) == len(lines) else lines.take(pa.array(at)), n_fields)
+        if t is not None:
+            wrong = _invalid(t)
+            alone.append(at[wrong])
+            good.append((at[~wrong], t.filter(pa.array(~wrong)) if wrong.any() else t))
+        elif len(at) == 1:
+            alone.append(at)
+        else:
+            todo += [at[: len(at) // 2], at[len(at) // 2 :]]
+    return good, np.sort(np.concatenate(alone))
 
 
 def parse_records(df: DataFrame, record_id: Column, line: Column, fields: tuple[str, ...] = FIELDS, id_name: str = "raw_id") -> DataFrame:
@@ -144,17 +147,14 @@ def parse_records(df: DataFrame, record_id: Column, line: Column, fields: tuple[
             batch = batch.filter(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(lines)), 0))
             if not batch.num_rows:
                 continue
-            good: list = []
-            bad: list = []
-            _split(batch.column(1).cast(pa.string()), n, 0, good, bad)
-            ids = batch.column(0)
-            if good:
-                where = pa.array(np.concatenate([w for w, _ in good]))
-                columns = [pa.chunked_array([ch for piece in pieces for ch in (piece.chunks if isinstance(piece, pa.ChunkedArray) else [piece])], pa.string()).combine_chunks() for pieces in zip(*(c for _, c in good))]
-                yield pa.RecordBatch.from_arrays([ids.take(where), *columns, pa.nulls(len(where), pa.string())], schema=schema)
-            if bad:
-                where = pa.array([i for i, _ in bad])
-                yield pa.RecordBatch.from_arrays([ids.take(where), *(pa.nulls(len(bad), pa.string()) for _ in fields), pa.array([r for _, r in bad])], schema=schema)
+            lines, ids = batch.column(1).cast(pa.string()), batch.column(0)
+            good, alone = _split(lines, n)
+            for where, t in good:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), *t.combine_chunks().to_batches()[0].columns, pa.nulls(len(where), pa.string())], schema=schema) if len(where) else pa.RecordBatch.from_pylist([], schema=schema)
+            if len(alone):
+                found = [diagnose(line, n) for line in lines.take(pa.array(alone)).to_pylist()]
+                columns = list(zip(*(f or (None,) * n for f, _ in found)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(alone)), *(pa.array(c, pa.string()) for c in columns), pa.array([r for _, r in found], pa.string())], schema=schema)
 
     ddl = ", ".join([f"{id_name} long", *(f"`{f}` string" for f in fields), "reason string"])
     return spread(slim).mapInArrow(parse, ddl)

@@ -4,12 +4,13 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chainforge.operators.components import clean_edges, min_label_components
-from chainforge.operators.parse_records import diagnose, parse_records, strict_fields
+from chainforge.operators.parse_records import _split, diagnose, parse_records, strict_fields
 from chainforge.operators.runs import run_states
 
 
@@ -81,6 +82,20 @@ def test_parse_parts_good_from_bad_in_any_mix(spark):
         assert [got[i][c] for c in ("seqinfo", "sequence", "vgene", "jgene", "species")] == (fields or [None] * 5)
 
 
+def test_only_suspect_lines_reach_the_strict_scanner():
+    random.seed(2)
+    lines = [random.choice(['s {i},ACDX,v,j,human', '"s, {i}","AC",v,"a ""b"" c","x\ny"', "s{i},W,,,"]) for _ in range(5000)]
+    bad = random.sample(range(5000), 500)
+    for i in bad:
+        lines[i] = random.choice(['s{i},AC"D,v,j,h', "s{i},ACD,v,j", " ,ACD,v,j,h", "s{i},acd,v,j,h", "a\nb,A,v,j,h", '"a",A,v\nw,j,h'])
+    good, alone = _split(pa.array(lines), 5)
+    scanned = sorted(set(bad) | {i for i, x in enumerate(lines) if diagnose(x)[1]})
+    assert alone.tolist() == scanned
+    assert sorted(i for at, _ in good for i in at.tolist()) == sorted(set(range(5000)) - set(scanned))
+    assert all(diagnose(lines[i])[0] == [c[k].as_py() for c in t.columns] for at, t in good for k, i in enumerate(at.tolist()[:50]))
+    assert _split(pa.array([], pa.string()), 5)[1].tolist() == []
+
+
 def test_parse_of_nothing_and_of_very_long_lines(spark):
     none = spark.createDataFrame([], "raw_id long, line string")
     assert parse_records(none, none["raw_id"], none["line"]).count() == 0

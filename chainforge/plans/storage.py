@@ -5,8 +5,6 @@ Files are written to the shared folder and read back, so that the readers and wr
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,25 +12,21 @@ from chainforge.operators.annotate import chain_profiles
 from chainforge.operators.search import SearchSettings, search
 from chainforge.plans.sequences import germlines
 from chainforge.plans.typed import typed
-from chainforge.runtime import shared_dir, spread, store, table
+from chainforge.runtime import folder, spread, store, table
 from chainforge.sources import database as db
 from chainforge.sources import files
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/chainforge-files-{uuid.uuid4().hex}"
-
-
 def s1_fasta_roundtrip(spark, sf):
     t = table(spark, sf, "fasta_records")
-    path = _folder(spark)
+    path = folder(spark)
     files.write_fasta(t, F.col("seqinfo"), F.col("sequence"), path)
     return files.read_fasta(spark, [path]).where("error IS NULL").groupBy("seqinfo", "sequence").agg(F.count("*").alias("n"))
 
 
 def s2_csv_roundtrip(spark, sf):
     t = table(spark, sf, "cdr_rows")
-    path = _folder(spark)
+    path = folder(spark)
     t.select("cdr_id", "entry_key", "heavy_cdr3", "lab").write.option("header", True).csv(path)
     rows = files.read_csv_rows(spark, [path], 4, skip_rows=1)
     return rows.select(F.col("c0").cast("long").alias("cdr_id"), F.col("c1").alias("entry_key"), F.col("c2").alias("heavy_cdr3"), F.col("c3").alias("lab"))
@@ -64,7 +58,7 @@ def s5_database_roundtrip(spark, sf) -> DataFrame:
     t = spread(t.select(F.col("rec_id").alias("seq_id"), F.col("seqinfo").alias("metadata"), F.upper(F.regexp_replace("sequence", "[^A-Za-z]", "")).alias("seq")))
     info = db.Info(memo="fasta_records")
     parts = db.from_sequences(t, "seq", germlines(spark, sf), chain_profiles(germlines(spark, sf)), info)
-    path = _folder(spark)
+    path = folder(spark)
     db.write_database(path, *parts, info)
     rows = store(db.Database(spark, path).searchable())
     return search(rows.where("seq_id % 100 = 0"), rows, SearchSettings("123", 0.2), ("v", "species"))

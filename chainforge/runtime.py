@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,7 +17,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a single machine) a folder of this machine is made and used.
+    Only where the session has none and is local (tests, a single machine) a folder of this machine is made and used. On a cluster that
+    would leave every executor with a part on its own disk, so it raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="chainforge-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -39,9 +43,20 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _forget() -> None:
-    for spark, path in _written:
-        _delete(spark, path)
+def release() -> None:
+    """Delete all tables stored so far. For a long session, once the results of its queries are written: nothing may read them after this.
+
+    The end of the application does the same.
+    """
+    while _written:
+        _delete(*_written.pop())
+
+
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted with the stored tables."""
+    path = f"{shared_dir(spark)}/chainforge-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
 
 class Stored:
@@ -50,14 +65,15 @@ class Stored:
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         ship(self.spark)
-        self.path = f"{shared_dir(self.spark)}/chainforge-{uuid.uuid4().hex}"
+        self.path = folder(self.spark)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        _written.append((self.spark, self.path))
 
     def drop(self) -> None:
         """Delete the files; nothing may read ``df`` after this."""
         _delete(self.spark, self.path)
+        if (self.spark, self.path) in _written:
+            _written.remove((self.spark, self.path))
 
 
 def store(df: DataFrame) -> DataFrame:

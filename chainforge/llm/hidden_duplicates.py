@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainforge.runtime import store
@@ -25,40 +25,38 @@ def keyed(df: DataFrame, table_name: str, record_id: Column, parts: list[Column]
     return df.select(name.alias("table_name"), F.xxhash64(name, *parts).alias("k1"), F.xxhash64(*parts, F.lit(len(parts)), name).alias("k2"), record_id.cast("long").alias("id")).where("id IS NOT NULL")
 
 
-def _groups(keys: DataFrame, hot_rows: int, max_hot_keys: int, salts: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Cold groups with their ids (each of at most hot_rows), hot rows, and hot groups with kept_id and n."""
-    key = ["table_name", "k1", "k2"]
+KEY = ["table_name", "k1", "k2"]
+
+
+def _hot(keys: DataFrame, hot_rows: int, max_hot_keys: int, salts: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows of cold keys, rows of hot keys, and the hot keys with kept_id and n; None if there are no hot keys."""
     n = keys.count()
     hot_rows = max(hot_rows, -(-n // max_hot_keys))  # so at most max_hot_keys keys can be hot, and what is broadcast has that bound
-    hot = store(keys.groupBy(*key).count().where(F.col("count") > hot_rows).drop("count"))
-    cold, hot_only = keys, None
-    if not hot.isEmpty():
-        cold = keys.join(F.broadcast(hot), key, "left_anti")
-        hot_only = keys.join(F.broadcast(hot), key, "left_semi")
-    cold_groups = cold.groupBy(*key).agg(F.min("id").alias("kept_id"), F.count("*").alias("n"), F.collect_list("id").alias("ids"))
-    if hot_only is None:
-        return cold_groups, None, None
-    salted = hot_only.groupBy(*key, F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("m"), F.count("*").alias("c"))
-    return cold_groups, hot_only, salted.groupBy(*key).agg(F.min("m").alias("kept_id"), F.sum("c").alias("n"))
+    hot = store(keys.groupBy(*KEY).count().where(F.col("count") > hot_rows).drop("count"))
+    if hot.isEmpty():
+        return keys, None, None
+    rows = keys.join(F.broadcast(hot), KEY, "left_semi")
+    salted = rows.groupBy(*KEY, F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("m"), F.count("*").alias("c"))
+    return keys.join(F.broadcast(hot), KEY, "left_anti"), rows, salted.groupBy(*KEY).agg(F.min("m").alias("kept_id"), F.sum("c").alias("n"))
 
 
 def hidden_duplicates(keys: DataFrame, hot_rows: int = 10_000, max_hot_keys: int = 20_000, salts: int = 64) -> DataFrame:
     """table_name, kept_id, copy_id: a row for each record that copies one with a smaller id, which is the least of its set.
 
     ``keys`` comes from ``keyed``. Keys of more than hot_rows rows are found exactly with partial counts, aggregated in two salted
-    levels and joined back by a broadcast of at most max_hot_keys keys; all others take one shuffle, in which a group is at most
-    hot_rows ids. Ties can't arise, as the least id is kept; a row given twice with one id isn't a copy of itself. Empty: no rows.
+    levels and joined back by a broadcast of at most max_hot_keys keys; all others take one shuffle, in which every row is set beside
+    the least id of its key; no list of ids is ever made. Ties can't arise, as the least id is kept; a row given twice with one id
+    isn't a copy of itself. Empty: no rows.
     """
-    keys = store(keys)  # the texts are read and put into canonical form once
-    cold, hot_only, hot = _groups(keys, hot_rows, max_hot_keys, salts)
-    out = cold.where("n > 1").select("table_name", "kept_id", F.explode("ids").alias("copy_id"))
-    if hot_only is not None:
-        out = out.unionAll(hot_only.join(F.broadcast(hot), ["table_name", "k1", "k2"]).select("table_name", "kept_id", F.col("id").alias("copy_id")))
+    cold, rows, hot = _hot(store(keys), hot_rows, max_hot_keys, salts)  # stored: the texts are read and put into canonical form once
+    out = cold.select("table_name", F.min("id").over(Window.partitionBy(*KEY)).alias("kept_id"), F.col("id").alias("copy_id"))
+    if rows is not None:
+        out = out.unionAll(rows.join(F.broadcast(hot), KEY).select("table_name", "kept_id", F.col("id").alias("copy_id")))
     return out.where("copy_id <> kept_id")
 
 
 def collapsed(keys: DataFrame, hot_rows: int = 10_000, max_hot_keys: int = 20_000, salts: int = 64) -> DataFrame:
     """table_name, kept_id, n_copies: one row per set of equal records with the number of rows in it, itself included."""
-    cold, _, hot = _groups(store(keys), hot_rows, max_hot_keys, salts)
-    out = cold.select("table_name", "kept_id", F.col("n").alias("n_copies"))
+    cold, _, hot = _hot(store(keys), hot_rows, max_hot_keys, salts)
+    out = cold.groupBy(*KEY).agg(F.min("id").alias("kept_id"), F.count("*").alias("n")).select("table_name", "kept_id", F.col("n").alias("n_copies"))
     return out if hot is None else out.unionAll(hot.select("table_name", "kept_id", F.col("n").alias("n_copies")))

@@ -59,11 +59,22 @@ def test_link_groups(spark):
     pairs += [(b, a) for a, b in pairs[:30]] + [(5, 5), (None, 1), (2, None)]
     want = _union_find([(a, b) for a, b in pairs if a is not None and b is not None and a != b])
     df = spark.createDataFrame(pairs, "a long, b long").withColumn("node", F.lit(0))
-    for depth in (24, 1):  # peeled, and left to the propagation
+    for depth in (24, 8, 2, 1, 0):  # peeled to the end, or with the rest of the component hanging on the peeled part
         assert {tuple(r) for r in link_groups(df, "a", "b", depth).collect()} == want
     assert link_groups(df.limit(0), "a", "b").count() == 0
 
 
+def test_link_groups_of_a_large_star_and_a_long_path(spark):
+    ids = spark.range(1, 1_000_000, numPartitions=4)
+    star = ids.select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    path = spark.range(2_000_000, 2_010_000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    got = link_groups(star.unionAll(path), "a", "b").groupBy("group_id").count().collect()
+    assert sorted(r["count"] for r in got) == [10_001, 1_000_000]
+    hub = ids.select((F.col("id") + 3_000_000).alias("a"), F.lit(9_000_000).cast("long").alias("b"))  # the hub is the larger end, in no peeled component
+    got = link_groups(star.unionAll(star.limit(1).select(F.lit(0).cast("long"), F.lit(1_000_001).cast("long"))).unionAll(hub), "a", "b").groupBy("group_id").count().collect()
+    assert sorted((r["group_id"], r["count"]) for r in got) == [(0, 1_000_001), (3_000_001, 1_000_000)]
+
+
 def _mutants(rng, n, length, families):
     bases = [[rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(length)] for _ in range(families)]
     out = []

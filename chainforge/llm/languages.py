@@ -3,7 +3,8 @@
 The kernel of two texts is the share of n-grams that both hold: the blended spectrum of all n-grams of 1 to 5 letters inside word
 borders, counted by presence and normalised by the sizes of both sets. One-versus-rest kernel ridge regression is fitted in the
 Nystroem subspace of landmark texts. A text's scores are k(x, landmarks) A = (X L') A; since X (L' A) is the same product, L' A is
-multiplied once after fitting, and a batch is scored by one product of its sparse presence matrix with that matrix.
+multiplied once after fitting, and the sparse presence matrix of a batch is multiplied with it: the rows of L' A that X names are gathered
+and summed text by text.
 
 Labels in the corpus are noisy, so the fit is repeated with the labels of the pass before where the two disagree.
 """
@@ -111,12 +112,17 @@ def _cells_of(batch: pa.RecordBatch):
 
 
 def _training(docs: DataFrame, per_language: int, cells_each: int, seed: int) -> tuple[list[list[int]], list[str]]:
-    """Presence lists and label languages of the sampled documents' first text cells; at most languages x per_language x cells_each."""
-    named = docs.select("d", "label").where("label IS NOT NULL AND d IS NOT NULL").withColumn("h", F.xxhash64(F.lit(seed), "d"))
-    chosen = named.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "d"))).where(F.col("n") <= per_language)
-    ids = [r[0] for r in chosen.select("d").collect()]  # bounded by languages x per_language
-    if not ids:
+    """Presence lists and label languages of the sampled documents' first text cells; at most languages x per_language x cells_each.
+
+    Sampled are rows, not ids: a first pass without texts gives the hash up to which a label's documents are taken, and of the rows up
+    to it, which are more only if ids are repeated, the first per_language are kept.
+    """
+    named = docs.where("label IS NOT NULL AND d IS NOT NULL").withColumn("h", F.xxhash64(F.lit(seed), "d"))
+    first = Window.partitionBy("label").orderBy("h")
+    last = named.select("label", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).groupBy("label").agg(F.max("h").alias("last")).collect()  # a row a language
+    if not last:
         return [], []
+    upto = F.create_map(*(F.lit(x) for r in last for x in (r["label"], r["last"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -124,7 +130,9 @@ def _training(docs: DataFrame, per_language: int, cells_each: int, seed: int) ->
             rows = [(label, presence(t, words)) for _, label, cells in _cells_of(batch) for _, t in cells[:cells_each]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["label", "ids"])
 
-    got = docs.where(F.col("d").isin(ids)).select("d", "t", "label").mapInArrow(run, "label string, ids array<int>").where("size(ids) > 0").toArrow()
+    near = named.where(F.col("h") <= F.element_at(upto, F.col("label"))).select("d", "t", "label", "h", F.xxhash64("t").alias("x"))
+    chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "x"))).where(F.col("n") <= per_language)
+    got = chosen.select("d", "t", "label").mapInArrow(run, "label string, ids array<int>").where("size(ids) > 0").toArrow()
     pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()), key=lambda p: (p[0], zlib.crc32(repr(sorted(p[1])).encode())))
     return [p[1] for p in pairs], [p[0] for p in pairs]
 
@@ -157,17 +165,20 @@ def languages(df: DataFrame, doc_id: Column, text: Column, label: Column, per_la
                 for number, t in cells:
                     owner.append(len(docs_))
                     numbers.append(number)
-                    sets.append(presence(t, words))
+                    sets.append(np.array(presence(t, words) or [FEATURES], np.int32))
                 docs_.append((doc, label, len(cells)))
             sizes = np.array([len(s) for s in sets], np.int64)
+            empty = np.array([s[0] == FEATURES for s in sets], bool)
             best, sure = np.full(len(sets), -1), np.zeros(len(sets))
             if sets and len(ids):
-                flat = np.fromiter((i for s in sets for i in (s or [FEATURES])), np.int64, int(np.maximum(sizes, 1).sum()))
-                start = np.concatenate([[0], np.cumsum(np.maximum(sizes, 1))[:-1]])
-                scores = np.add.reduceat(dense[flat], start) / np.sqrt(np.maximum(sizes, 1))[:, None]
+                scores = np.empty((len(sets), len(LANGUAGES)), np.float32)
+                for at in range(0, len(sets), 1024):
+                    some = slice(at, at + 1024)
+                    start = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+                    scores[some] = np.add.reduceat(dense[np.concatenate(sets[some])], start) / np.sqrt(sizes[some])[:, None]
                 e = np.exp(8 * (scores - scores.max(1, keepdims=True)))
                 p = e / e.sum(1, keepdims=True)
-                best = np.where((sizes > 0) & (np.abs(scores).sum(1) > 0), p.argmax(1), -1)
+                best = np.where(~empty & (np.abs(scores).sum(1) > 0), p.argmax(1), -1)
                 sure = np.where(best >= 0, p.max(1), 0.0)
             owner_ = np.array(owner, int)
             votes, trust = np.zeros((len(docs_), len(LANGUAGES))), np.zeros((len(docs_), len(LANGUAGES)))

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,8 +117,32 @@ def test_mix_reaches_its_shares(spark):
 
 
 def test_poisson_steps():
-    assert mixing._cdf(0.0, 3) == [1.0, 1.0, 1.0] and mixing._cdf(float("inf"), 2) == [0.0, 0.0]
-    assert abs(mixing._cdf(1.0, 3)[2] - 0.9196986) < 1e-4
+    assert mixing._cdf(0.0, 3) == (0, []) and mixing._cdf(float("inf"), 2) == (2, [])
+    zeros, steps = mixing._cdf(1.0, 3)
+    assert zeros == 0 and abs(steps[2] - 0.9196986) < 1e-6
+    assert mixing._cdf(5000.0, 100) == (100, []) and len(mixing._cdf(1e-6, 1000)[1]) < 10
+
+
+def test_realised_tokens_are_counted_like_draws():
+    rng = np.random.default_rng(5)
+    u, tokens = rng.random(500), rng.integers(1, 90, 500)
+    for mean, cap in ((0.0, 3), (0.02, 1), (0.7, 4), (9.0, 20), (900.0, 1000), (float("inf"), 6)):
+        zeros, steps = mixing._cdf(mean, cap)
+        n = zeros + (np.array(steps)[None, :] <= u[:, None]).sum(1)
+        assert n.max() <= cap and mixing.realised(u, tokens, [mean], cap).ravel().tolist() == [(n * tokens).sum(), n.sum()]
+
+
+def test_means_at_every_rate(spark):
+    n, tokens = 2_000_000, 7
+    drawn = spark.range(n).select(F.lit("s").alias("source"), (F.shiftrightunsigned(F.xxhash64("id"), 11) * F.lit(2.0**-53)).alias("u"), F.lit(tokens).alias("n_tokens"))
+    for rate, cap in ((1e-6, 1), (1e-5, 3), (1e-4, 1), (0.02, 1), (0.999, 1), (3.0, 5), (10.0, 1000), (800.0, 2000)):
+        wanted = rate * n * tokens
+        mean = mixing.fit_means(drawn, {"s": (wanted, cap, n * tokens)})["s"]
+        zeros, steps = mixing._cdf(mean, cap)
+        got = drawn.where(F.col("u") >= (min(steps) if steps and not zeros else 0.0)).select("u").toPandas()["u"].to_numpy()
+        realised = mixing.realised(got, np.full(len(got), tokens), [mean], cap)[0, 0]
+        assert abs(realised - wanted) <= max(tokens, 2e-4 * wanted), (rate, realised / wanted)
+    assert mixing.fit_means(drawn, {"s": (2 * n * tokens, 2, n * tokens)})["s"] == float("inf")
 
 
 SENTENCES = {
@@ -167,12 +192,3 @@ def test_cells_and_labels(spark):
     assert [(n, t.strip()) for n, t in languages.text_cells(text)] == [(1, "A"), (3, "B")]
     df = spark.createDataFrame([("pt-BR", "pt"), ("ENGLISH", "en"), (" français ", "fr"), ("ru_RU.UTF-8", "ru"), ("??", None), ("", None), (None, None), ("english text", "en")], "l string, w string")
     assert all(r["g"] == r["w"] for r in df.withColumn("g", languages.label_language(F.col("l"))).collect())
-
-
-def test_means_above_where_exp_underflows():
-    tail = mixing._Tail([(b, 1) for b in range(mixing._BINS)])
-    for wanted in (700, 800, 1500, 1990):
-        mean = mixing._mean_for(wanted * mixing._BINS, 2000, tail)
-        got = sum(map(tail, mixing._cdf(mean, 2000)))
-        assert abs(got / mixing._BINS - wanted) < 0.1
-        assert wanted > 1900 or abs(mean - wanted) < 1

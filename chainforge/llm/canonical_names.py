@@ -1,10 +1,14 @@
 """Hand-typed gene names mapped to the entries of a canonical list.
 
-A value is parsed into the letters of its locus, its numbers and its allele. Numbers and allele name a gene, so they must agree with
-an entry's exactly (leading zeros and the look-alikes O, I and l aside); only the locus may be misspelt. A symmetric-delete
-dictionary finds the entries: every spelling of an entry's locus is stored under itself and what is left of it after up to two
-deletions, together with the numbers and the allele, and a value looks up the same deletions of its own locus. What is found is verified
-and ranked by a weighted Damerau-Levenshtein distance of the loci and then by how often the list's entry is used.
+A name is letters (its locus) and numbers (the gene's and, mostly, the allele's). Every entry is kept as one normalised text, such as
+ighv.1.2.1, also without its allele, and with the short forms of its locus. A symmetric-delete dictionary finds them: each text is stored
+under all that is left of it after up to two deletions, and a value looks up the same deletions of its own texts. What is found is verified by a
+weighted Damerau-Levenshtein distance, in which an edit of a digit costs more than the bound, as numbers name another gene; deletions are therefore
+taken at letters only. The same dictionary holds the loci alone, those of other lists too: a value means the locus that is nearest to it, and no
+entry if that locus is another list's or has no such numbers.
+
+A typed value is cut into words and numbers. What is in brackets, percentages, words behind the numbers and words before the locus mean nothing;
+which of the words are the locus is for the dictionary to say. Letters that look like digits are read both ways.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,37 +28,17 @@ from chainforge.runtime import spread
 
 #: The list is broadcast; a longer one is refused.
 MAX_ENTRIES = 50_000
-#: Receptor loci a value may name instead of those of its field.
-LOCI = "IGHV IGHD IGHJ IGKV IGKJ IGLV IGLJ TRAV TRAJ TRBV TRBD TRBJ TRGV TRGJ TRDV TRDD TRDJ".lower().split()
-#: Letters typed for one another, on sight or on the keyboard.
+#: Letters typed for one another, on sight or on the keyboard, and letters that look like digits.
 _ALIKE = {frozenset(p) for p in ("il", "vu", "vb", "jh")}
+_DIGITS = {"o": "0", "i": "1", "l": "1"}
 BOUND = 2.0
-#: Characters of a value without notes, species, trailing marks and repeated separators. What is longer has tens of letters before its
-#: number and is no locus.
-LONGEST = 500
-_BEFORE = re.compile(
-    r"^(?:h(?:omo)?\b\.?\s*sapiens|human|hum|hu|m(?:us)?\b\.?\s*musculus|mus|mouse|murine|mu|o\.?\s*cuniculus|oryctolagus(?:\s+cuniculus)?|rabbit|rab|v\.?\s*pacos|vicugna(?:\s+pacos)?|alpaca|llama|camelid)\b\.?\s*[-:,]?\s*"
-)
+#: Cost of an edit of a digit, of reading a letter as the digit that it looks like, of a word before the locus, and of a misspelt locus of another list.
+HEAVY, LOOKS, UNUSED, FOREIGN = 10.0, 0.25, 0.4, 0.3
 _OPEN = re.compile(r"[(\[]")
-_PERCENT = re.compile(r"(?<!\d)\d+(?:\.\d+)?\s*%\s*(?:id\w*)?")
-_LAST_WORDS = ("pseudogene", "functional", "gene", "orf", "f", "p")
-_LAST_MARKS = ".,;:?!*^#_/-"
-_MARKS = re.compile(r"[\s*:^#_\-./,]{2,}")
-_N = r"([0-9oil]{1,4})"
-_DIGITS = r"([0-9][0-9oil]{0,3})"
-_GAP = r"[\s\-_./,]*"
-_ALLELE = rf"(?:(?=[\s*:^#_\-./,a])[\s*:^#_\-./,]*(?:allele|all?\b)?[\s*:^#_\-./,]*{_N})?"
-_LOCUS = r"((?:[a-z][\s\-_.]*)*%s)"
-#: By whether names have family and gene: the first number begins with a digit; then it may begin with a letter that looks like
-#: one, and the locus ends as early or as late as it can.
-_SHAPES = {
-    pair: [re.compile((_LOCUS % lazy) + _GAP + number + (rf"(?:\s*s\s*|[\s\-_./,]+){_N}" if pair else "") + _ALLELE) for number, lazy in ((_DIGITS, "?"), (_N, "?"), (_N, ""))]
-    for pair in (False, True)
-}
-
-
-def _number(s: str | None) -> int | None:
-    return None if s is None else int(s.translate(str.maketrans("oil", "011")))
+_PERCENT = re.compile(r"(?<!\d)\d+(?:\.\d+)?\s*%")
+_RUN = re.compile(r"[^\W_]+")
+#: Within a run: digits with letters that look like digits, unless more letters follow them; else digits; else letters.
+_PIECE = re.compile(r"^[oil]+\d[\doil]*(?![^\W\d_])|\d+(?:[oil][\doil]*(?![^\W\d_]))?|[^\W\d_]+")
 
 
 def _without_notes(s: str) -> str:
@@ -71,138 +56,197 @@ def _without_notes(s: str) -> str:
     return " ".join(_PERCENT.sub(" ", x) for x in (*out, s[begin:]))
 
 
-def _without_last_words(s: str) -> str:
-    """s without trailing marks and words such as gene or functional."""
+def _number(s: str) -> str:
+    return "".join(_DIGITS.get(ch, ch) for ch in s).lstrip("0") or "0"
 
-    def in_word(i: int) -> bool:
-        return 0 <= i < len(s) and (s[i].isalnum() or s[i] == "_")
 
-    end = len(s)
-    while True:
-        while end and (s[end - 1].isspace() or s[end - 1] in _LAST_MARKS):
-            end -= 1
-        word = next((w for w in _LAST_WORDS if s.endswith(w, 0, end) and not in_word(end - len(w) - 1) and not in_word(end)), None)
-        if word is None:
-            return s[:end]
-        end -= len(word)
+def _is_number(piece: str) -> bool:
+    return any(ch.isdigit() for ch in piece)
 
 
-def readings(value: str, pair: bool) -> list[tuple[str, tuple[int, ...], int | None]]:
-    """What a value may say: (letters of the locus, numbers, allele or None), the plainest first; none if it is no gene name.
-
-    pair: names have family and gene. Later readings take a letter before the first digit for a digit (IGKJl*01), or leave out a
-    first word (rattus: IGHV1-2*01). Notes, padding and separators may be of any length; what is left without them is no gene name if it is longer than LONGEST.
-    """
+def pieces(value: str) -> list[tuple[str, bool]]:
+    """(word or number, whether it follows the one before without a gap) of a value in order, in lower case, without what is in brackets and percentages."""
     s = unicodedata.normalize("NFKC", value).casefold()
-    s = re.sub(r"[‐-―−]", "-", "".join(ch for ch in s if unicodedata.category(ch) != "Cf"))
-    s = _BEFORE.sub("", " ".join(_without_notes(" ".join(s.split())).split()))
-    s = _without_last_words(s)
-    out = []
-    for t in dict.fromkeys((s, re.sub(r"^[a-z.]+\s*[:\-]?\s+", "", s))):
-        t = _MARKS.sub(lambda m: "".join(dict.fromkeys(m[0])), t)  # only which separators there are matters, not how many
-        if len(t) > LONGEST:
+    s = "".join(ch for ch in s if unicodedata.category(ch) != "Cf")
+    return [(m[0], m.start() > 0) for run in _RUN.findall(_without_notes(s)) for m in _PIECE.finditer(run)]
+
+
+def _split_word(word: str) -> list[tuple[float, list[str]]]:
+    """(cost, parts): a word as it is, and with up to three letters that look like digits cut off at its end or before a last s."""
+    out = [(0.0, [word])]
+    for body, tail in ((word, []), (word[:-1], ["s"])):
+        if tail and not word.endswith("s"):
             continue
-        for shape in _SHAPES[pair]:
-            m = shape.fullmatch(t)
-            if m:
-                *numbers, allele = m.groups()[1:]
-                out.append((re.sub(r"[^a-z]", "", m[1]), tuple(_number(x) for x in numbers), _number(allele)))
+        for n in range(1, min(len(body), 3) + 1):
+            if body[-n] not in _DIGITS:
+                break
+            out.append((LOOKS * n, [body[:-n]] * (n < len(body)) + ["".join(_DIGITS[ch] for ch in body[-n:])] + tail))
     return out
 
 
+def _read(cost: float, words: list[str], inner: list[str]) -> tuple[float, list[str], list[str], list[str]]:
+    between = [p for p in inner if not _is_number(p)]
+    missed = sum(len(p) for p in between if p != "s" and not p.strip("oils"))  # letters that may be digits
+    return cost + 1.5 * LOOKS * missed, words, [_number(p) for p in inner if _is_number(p)], between
+
+
+def readings(value: str) -> Iterator[tuple[float, list[str], list[str], list[str]]]:
+    """What a value may say: (cost, words before the first number, numbers, words between numbers), the plainest first.
+
+    Words behind the last number mean nothing. In all readings but the first, letters of words around the numbers are digits. A word
+    between numbers that may be digits costs more than reading it as such.
+    """
+    found = pieces(value)
+    at = [k for k, (p, _) in enumerate(found) if _is_number(p)]
+    first, stop = (at[0], at[-1] + 1) if at else (len(found), len(found))
+    words, inner = [p for p, _ in found[:first]], found[first:stop]
+    yield _read(0.0, words, [p for p, _ in inner])
+    near = found[max(0, first - 4) : stop + 1]  # with one word behind the last number
+    if len(near) > 10 or not any(p[-1] in "oils" for p, _ in near):
+        return
+    before = [p for p, _ in found[: max(0, first - 4)]]
+    ways = product(*([(0.0, [p])] if _is_number(p) else _split_word(p) for p, _ in near))
+    for cost, parts in sorted(((sum(c for c, _ in way), [x for _, x in way]) for way in ways), key=lambda w: w[0]):
+        if not cost:
+            continue
+        flat: list[str] = []
+        for part, (_, joined) in zip(parts, near):
+            if joined and flat and _is_number(flat[-1]) and _is_number(part[0]):
+                flat[-1] += part[0]
+                part = part[1:]
+            flat += part
+        at = [k for k, p in enumerate(flat) if _is_number(p)]
+        yield _read(cost, before + flat[: at[0]], flat[at[0] : at[-1] + 1])
+
+
 @cache
 def distance(a: str, b: str) -> float:
-    """Weighted Damerau-Levenshtein distance: 1 an edit or a swap of neighbours, 0.75 for letters that are alike."""
-    rows = [[float(j) for j in range(len(b) + 1)]]
-    for i in range(1, len(a) + 1):
-        row = [float(i)]
-        for j in range(1, len(b) + 1):
-            sub = 0.0 if a[i - 1] == b[j - 1] else 0.75 if frozenset((a[i - 1], b[j - 1])) in _ALIKE else 1.0
-            best = min(rows[i - 1][j] + 1, row[j - 1] + 1, rows[i - 1][j - 1] + sub)
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and a[i - 1] != b[j - 1]:
-                best = min(best, rows[i - 2][j - 2] + 1)
+    """Weighted Damerau-Levenshtein distance: 1 an edit or a swap of neighbours, 0.75 for letters that are alike, HEAVY for what isn't a letter."""
+
+    def weight(*chars: str) -> float:
+        return 1.0 if all(ch.isalpha() for ch in chars) else HEAVY
+
+    rows = [[0.0]]
+    for y in b:
+        rows[0].append(rows[0][-1] + weight(y))
+    for i, x in enumerate(a, 1):
+        row = [rows[i - 1][0] + weight(x)]
+        for j, y in enumerate(b, 1):
+            sub = 0.0 if x == y else 0.75 if frozenset((x, y)) in _ALIKE else weight(x, y)
+            best = min(rows[i - 1][j] + weight(x), row[j - 1] + weight(y), rows[i - 1][j - 1] + sub)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
+                best = min(best, rows[i - 2][j - 2] + weight(x, y))
             row.append(best)
         rows.append(row)
     return rows[-1][-1]
 
 
-def near_enough(locus: str, form: str) -> bool:
-    """Within the bound, and at least half of the form is there."""
-    return distance(locus, form) <= min(BOUND, len(form) / 2)
+def near_enough(d: float, locus: str) -> bool:
+    """Within the bound, and enough of the locus is there: all of one of two letters, but for a letter like another."""
+    return d <= min(BOUND, max(len(locus) - 2, 0.75))
 
 
 @cache
 def deletions(s: str, most: int = 2) -> frozenset[str]:
+    """What is left of s after up to ``most`` deletions of letters."""
     out = {s}
     if most:
         for i in range(len(s)):
-            out |= deletions(s[:i] + s[i + 1 :], most - 1)
+            if s[i].isalpha():
+                out |= deletions(s[:i] + s[i + 1 :], most - 1)
     return frozenset(out)
 
 
+def _named(name: str) -> tuple[str, list[str]] | None:
+    """(locus, numbers) of a canonical name."""
+    _, words, numbers, _ = next(readings(name or ""))
+    return ("".join(words), numbers) if words and numbers else None
+
+
+def _forms(locus: str) -> set[str]:
+    """How a locus is written: in full, without the two letters of its receptor, and those that are left the other way round."""
+    return {locus, locus[2:], locus[:1:-1]} if len(locus) == 4 else {locus}
+
+
 class NameIndex:
-    """Symmetric-delete dictionary of (gene_id, gene_name, uses); gene names are canonical, such as IGHV1-2*03."""
-
-    def __init__(self, entries: list[tuple[int, str, int]]):
-        self.by_key: dict[tuple, set[tuple[str, int]]] = defaultdict(set)
-        self.forms: dict[str, str] = {}
-        self.uses: dict[int, int] = {}
-        self.pair = any(re.fullmatch(r"[A-Za-z]+\d+[-Ss]\d+.*", name or "") for _, name, _ in entries)
-        for gene_id, name, uses in entries:
-            if not name or not (got := readings(name, self.pair)):
-                continue
-            locus, numbers, allele = got[0]
-            self.uses[gene_id] = uses
-            for form in {locus, locus[2:], locus[:1:-1]} if len(locus) == 4 else {locus}:
-                self.forms[form] = locus
+    """Symmetric-delete dictionary of (gene_id, gene_name, uses) with the loci of other lists; gene names are canonical, such as IGHV1-2*03."""
+
+    def __init__(self, entries: list[tuple[int, str, int]], others: tuple[str, ...] = ()):
+        self.names: dict[str, set[tuple[str, int]]] = defaultdict(set)
+        self.loci: dict[str, set[tuple[str, bool]]] = defaultdict(set)
+        self.uses = {g: uses for g, _, uses in entries}
+        read = [(g, *got) for g, name, _ in entries if (got := _named(name))]
+        own = {form for _, locus, _ in read for form in _forms(locus)}
+        foreign = {form for locus in others for form in _forms(locus.casefold())} - own
+        for forms, mine in ((own, True), (foreign, False)):
+            for form in forms:
                 for rest in deletions(form):
-                    self.by_key[rest, numbers, allele].add((form, gene_id))
-                    self.by_key[rest, numbers, None].add((form, gene_id))
-        self.others = [x for x in LOCI if x not in self.forms]
-
-    def best(self, value: str) -> tuple[float, str, tuple[int, ...], int | None] | None:
-        """The reading whose locus is nearest to one of the list's, with that distance; of equally near ones the plainest."""
-        near = [(min((distance(x[0], f) for f in self.forms if near_enough(x[0], f)), default=BOUND + 1) if x[0] else BOUND, *x) for x in readings(value, self.pair)]
-        return min(near, key=lambda x: x[0], default=None)
-
-    def find(self, value: str) -> tuple[int, float | None, str]:
-        """(gene_id or 0, distance, outcome): outcome is matched, ambiguous (several entries are equally near) or unmatched."""
-        got = self.best(value)
-        if got is None or not self.forms:
-            return 0, None, "unmatched"
-        near, locus, numbers, allele = got
-        if near > BOUND or locus and any(distance(locus, x) < near for x in self.others):
-            return 0, None, "unmatched"
-        ranked: dict[int, float] = {}
-        for rest in deletions(locus) if locus else {""}:
-            for form, gene_id in self.by_key.get((rest, numbers, allele), ()) if locus else self._any(numbers, allele):
-                d = distance(locus, form) if locus else near
-                if d <= near:
-                    ranked[gene_id] = min(d, ranked.get(gene_id, d))
-        if not ranked:
-            return 0, None, "unmatched"
-        if len(ranked) > 1:
-            return 0, near, "ambiguous"
-        return next(iter(ranked)), near, "matched"
+                    self.loci[rest].add((form, mine))
+        self.longest = max((len(form) for form in own | foreign), default=0) + int(BOUND)
+        self.numbers = {len(numbers) for _, _, numbers in read}
+        self.numbers |= {n - 1 for n in self.numbers}
+        for gene_id, locus, numbers in read:
+            for form in {*_forms(locus), ""}:
+                for text in (".".join((form, *numbers)), ".".join((form, *numbers[:-1]))):
+                    for rest in deletions(text):
+                        self.names[rest].add((text, gene_id))
+
+    @cache
+    def nearest(self, word: str) -> tuple[float, bool] | None:
+        """(distance, whether it is one of the list) of the locus that is nearest to a word; of equally near ones one of the list."""
+        if len(word) > self.longest:
+            return None
+        found = {x for rest in deletions(word) for x in self.loci.get(rest, ())}
+        near = [(d, mine) for form, mine in found if near_enough(d := distance(word, form), form)]
+        return min(near, key=lambda x: (x[0], not x[1]), default=None)
+
+    def meant(self, value: str) -> tuple[float, float, str, list[str]] | None:
+        """(cost, distance of the locus, locus as typed, numbers) of the reading with the nearest locus; None if that isn't one of the list."""
+        best, mine = None, False
+        for cost, words, numbers, between in readings(value):
+            if len(numbers) not in self.numbers or any(self.nearest(w) for w in between):
+                continue
+            if not words and (best is None or cost + BOUND < best[0]):
+                best, mine = (cost + BOUND, 0.0, "", numbers), True
+            for k in range(max(0, len(words) - 4), len(words)):
+                word = "".join(words[k:])
+                got = self.nearest(word)
+                total = cost + UNUSED * k + got[0] + FOREIGN * (got[0] > 0 and not got[1]) if got else HEAVY
+                if got and (best is None or total < best[0]):
+                    best, mine = (total, got[0], word, numbers), got[1]
+            if best and not best[0]:
+                break
+        return best if mine else None
 
     def candidates(self, value: str) -> list[tuple[float, int, int]]:
         """(distance, -uses, gene_id) of all entries with the value's numbers and allele within the bound, best first."""
-        got = self.best(value)
+        got = self.meant(value)
         if got is None:
             return []
-        _, locus, numbers, allele = got
-        found = {(form, g) for rest in deletions(locus) for form, g in self.by_key.get((rest, numbers, allele), ())}
-        return sorted((distance(locus, form), -self.uses[g], g) for form, g in found if near_enough(locus, form))
+        _, _, word, numbers = got
+        text = ".".join((word, *numbers))
+        ranked: dict[int, float] = {}
+        for form, gene_id in {x for rest in deletions(text) for x in self.names.get(rest, ())}:
+            if (bool(word) or form[0] == ".") and near_enough(e := distance(text, form), form.partition(".")[0] or "    "):
+                ranked[gene_id] = min(e, ranked.get(gene_id, HEAVY))
+        return sorted((e, -self.uses[g], g) for g, e in ranked.items())
+
+    def find(self, value: str) -> tuple[int, float | None, str, list[int]]:
+        """(gene_id or 0, distance, outcome, suggestions): outcome is matched, ambiguous (several entries are equally near) or unmatched.
 
-    def _any(self, numbers: tuple, allele: int | None):
-        """Entries for a value without a locus: any locus of the field may be meant."""
-        return [(f, g) for f in set(self.forms.values()) for f2, g in self.by_key.get((f, numbers, allele), ()) if f2 == f]
+        Only entries of the nearest locus count as meant: the same numbers of a locus farther off name another gene.
+        """
+        got, found = self.meant(value), self.candidates(value)
+        best = [x for x in found if x[0] <= got[1] + 1e-9] if got else []
+        out = (best[0][2], best[0][0], "matched") if len(best) == 1 else (0, best[0][0], "ambiguous") if best else (0, None, "unmatched")
+        return (*out, [g for _, _, g in found[:3]])
 
 
-def map_names(df: DataFrame, row_id: Column, fields: dict[str, tuple[Column, DataFrame]]) -> DataFrame:
+def map_names(df: DataFrame, row_id: Column, fields: dict[str, tuple[Column, DataFrame]], others: dict[str, DataFrame] | None = None) -> DataFrame:
     """row_id, field, value, gene_id, distance, outcome, suggestions: one row per value that is neither blank nor an exact entry.
 
-    fields: name -> (values, entries), entries with gene_id and gene_name. gene_id is 0 where no entry is named, be it that the
+    fields: name -> (values, entries), entries with gene_id and gene_name. others: name -> entries of other lists, whose loci a value of
+    the field may name instead. gene_id is 0 where no entry is named, be it that the
     value is no gene name, has other numbers or another allele, or names another locus, and where several entries are equally near
     (a value without a locus, or without an allele for a gene of several). suggestions lists up to three ids by distance and then by
     the number of rows that use the entry exactly. Null and blank values and exact names give no row. Repeated rows give rows each;
@@ -210,7 +254,7 @@ def map_names(df: DataFrame, row_id: Column, fields: dict[str, tuple[Column, Dat
     the exact uses.
     """
     spark = df.sparkSession
-    lists = {}
+    lists, foreign = {}, {}
     for name, (values, entries) in fields.items():
         short = entries.select("gene_id", "gene_name").where("gene_name IS NOT NULL").limit(MAX_ENTRIES + 1)
         rows = short.collect()
@@ -219,12 +263,15 @@ def map_names(df: DataFrame, row_id: Column, fields: dict[str, tuple[Column, Dat
         uses = df.select(values.alias("gene_name")).join(F.broadcast(short.select("gene_name").distinct()), "gene_name").groupBy("gene_name").count()
         n = {r[0]: r[1] for r in uses.collect()}  # one row per entry at most
         lists[name] = [(int(r[0]), r[1], n.get(r[1], 0)) for r in rows]
-    shared = spark.sparkContext.broadcast(lists)
+        loci = (others or {}).get(name)
+        foreign[name] = () if loci is None else tuple(r[0] for r in loci.select(F.regexp_extract("gene_name", "^[A-Za-z]+", 0)).distinct().limit(MAX_ENTRIES).collect())
+    shared = spark.sparkContext.broadcast((lists, foreign))
     schema = pa.schema([("row_id", pa.int64()), ("field", pa.string()), ("value", pa.string()), ("gene_id", pa.int64()), ("distance", pa.float64()), ("outcome", pa.string()), ("suggestions", pa.list_(pa.int64()))])
     names = list(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {n: (NameIndex(shared.value[n]), {e[1] for e in shared.value[n]}, {}) for n in names}
+        listed, loci = shared.value
+        made = {n: (NameIndex(listed[n], loci[n]), {e[1] for e in listed[n]}, {}) for n in names}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
@@ -237,7 +284,7 @@ def map_names(df: DataFrame, row_id: Column, fields: dict[str, tuple[Column, Dat
                         continue
                     got = memo.get(v)
                     if got is None:
-                        got = memo[v] = (*index.find(v), [g for _, _, g in index.candidates(v)[:3]])
+                        got = memo[v] = index.find(v)
                     out.append((i, field, v, *got))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)

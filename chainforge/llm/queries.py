@@ -63,9 +63,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_names(spark: SparkSession, sf: str) -> DataFrame:
     t, genes = table(spark, sf, "cdr_rows"), table(spark, sf, "germlines")
-    heavy = genes.where("chain = 'H' AND segment = 'V'")
-    light = genes.where("chain IN ('K', 'L') AND segment = 'J'")
-    return map_names(t, F.col("cdr_id"), {"heavy_vgene": (F.col("heavy_vgene"), heavy), "light_jgene": (F.col("light_jgene"), light)}).withColumnRenamed("row_id", "cdr_id")
+    mine = {"heavy_vgene": F.expr("chain = 'H' AND segment = 'V'"), "light_jgene": F.expr("chain IN ('K', 'L') AND segment = 'J'")}
+    lists = {c: (F.col(c), genes.where(own)) for c, own in mine.items()}
+    return map_names(t, F.col("cdr_id"), lists, {c: genes.where(~own) for c, own in mine.items()}).withColumnRenamed("row_id", "cdr_id")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

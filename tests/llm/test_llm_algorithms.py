@@ -142,14 +142,15 @@ LIGHT = [(10, "IGKJ1*01"), (11, "IGLJ1*01"), (12, "IGKJ5*02"), (13, "IGLJ3*01"),
 
 
 def test_names_are_read_as_meant():
-    index = NameIndex([(*e, 0) for e in ENTRIES])
+    index = NameIndex([(*e, 0) for e in ENTRIES], ("IGKV", "IGLV", "IGHJ"))
     meant = {
         "ighv1-2*01": 1, " IGHV 1-02 allele 2.": 2, "IGVH1_2:01": 1, "lGHV3-7": 3, "Vh3 7-1": 3, "human: IGHU3.7*o1 (F)": 3, "IG-HV1s34*01\n": 4, "IGHV1-34*01": 4, "rattus - HV3–7^01 [ORF]": 3,
         "3-7*01": 3, "IGHV1-2": 0, "IGHV1-2*03": 0, "IGHV1-3*01": 0, "IGKV1-2*01": 0, "TRAV1-2*01": 0, "see notebook": 0, "no call": 0, "IGHV": 0, "": 0, "x" * 100_000: 0, "IGHV" + "0" * 100_000: 0,
+        "HVIs34*01": 4, "lGHV ls34 01": 4, "IGVl - 2:02": 2, "IGKKV1-2*01": 0, "IGKV 1-2*01 IGHV1-2*02": 0, "hu - ighv3-7 94.8% id": 3,
     }
     assert {v: index.find(v)[0] for v in meant} == meant
-    light = NameIndex([(*e, 0) for e in LIGHT])
-    meant = {"IGKJl": 10, "jl1*01": 11, "IGJL1*01": 11, "IGJ5*02": 12, "IGJ1*01": 0, "igkh5-02": 12, "IGHJ1*01": 0, "GLJ3": 13, "IGLJ5*02": 0, "IGKJ 1I*01": 14, "JL l": 11, "IGKJ-I allele 01": 10}
+    light = NameIndex([(*e, 0) for e in LIGHT], ("IGHV", "IGKV", "IGHJ"))
+    meant = {"IGKJl": 10, "jl1*01": 11, "IGJL1*01": 11, "IGJ5*02": 12, "IGJ1*01": 0, "igkh5-02": 12, "IGHJ1*01": 0, "GLJ3": 13, "IGLJ5*02": 0, "IGKJ 1I*01": 14, "JL l": 11, "IGKJ-I allele 01": 10, "IGK Jl*01": 10, "IGJLI": 11, "IGK J ll": 14}
     assert {v: light.find(v)[0] for v in meant} == meant
     assert NameIndex([]).find("IGHV1-2*01")[0] == 0
 
@@ -159,12 +160,13 @@ def test_names_with_long_notes_and_padding():
     note = "see the notebook of last year, 12.5 % id; " * 200
     meant = {
         f"IGHV1-2*01 ({note})": 1, f"[{note}] IGHV1-2*02 gene" + " ;" * 5000: 2, " \n" * 5000 + "human: IGHV3-7*01": 3, "IGHV" + " -" * 5000 + "1-2*01": 1, "IGHV3-7" + "*" * 5000 + "01": 3,
-        "rattus - IGHV1S34*01" + " orf" * 2000: 4, "(" * 100_000 + "IGHV1-2*01": 0, "1" * 100_000 + "x": 0, "IGHV1-2" + "-" * 100_000 + "x": 0, "1.1" * 50_000: 0, "i g" * 50_000: 0, "[(" * 50_000: 0,
+        "rattus - IGHV1S34*01" + " orf" * 2000: 4, "(" * 100_000 + "IGHV1-2*01": 1, "1" * 100_000 + "x": 0, "IGHV1-2" + "-" * 100_000 + "x": 0, "1.1" * 50_000: 0, "i g" * 50_000: 0, "[(" * 50_000: 0,
     }
     assert {v: index.find(v)[0] for v in meant} == meant
 
 
 def test_distance_and_deletions():
+    assert distance("a.1", "a.2") > 2 and distance("a.1", "a.1.1") > 2 and distance("ighv.1.2", "igvh.1.2") == 1
     assert distance("ighv", "ighv") == 0 and distance("igvh", "ighv") == 1 and distance("lghv", "ighv") == 0.75 and distance("", "ab") == 2
     rng = random.Random(7)
     for _ in range(300):  # two words within two edits share a deletion of at most two letters each

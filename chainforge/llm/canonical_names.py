@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from itertools import product
 
 import pyarrow as pa
@@ -119,7 +119,7 @@ def readings(value: str) -> Iterator[tuple[float, list[str], list[str], list[str
         yield _read(cost, before + flat[: at[0]], flat[at[0] : at[-1] + 1])
 
 
-@cache
+@lru_cache(1 << 17)
 def distance(a: str, b: str) -> float:
     """Weighted Damerau-Levenshtein distance: 1 an edit or a swap of neighbours, 0.75 for letters that are alike, HEAVY for what isn't a letter."""
 
@@ -146,7 +146,7 @@ def near_enough(d: float, locus: str) -> bool:
     return d <= min(BOUND, max(len(locus) - 2, 0.75))
 
 
-@cache
+@lru_cache(1 << 17)
 def deletions(s: str, most: int = 2) -> frozenset[str]:
     """What is left of s after up to ``most`` deletions of letters."""
     out = {s}
@@ -191,7 +191,7 @@ class NameIndex:
                     for rest in deletions(text):
                         self.names[rest].add((text, gene_id))
 
-    @cache
+    @lru_cache(1 << 17)
     def nearest(self, word: str) -> tuple[float, bool] | None:
         """(distance, whether it is one of the list) of the locus that is nearest to a word; of equally near ones one of the list."""
         if len(word) > self.longest:

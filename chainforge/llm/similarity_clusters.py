@@ -4,12 +4,14 @@ A record is the set of its (position, letter) pairs. Two records of L letters th
 the shared ones, so their Jaccard similarity is (L - d) / (L + d): at most a tenth of the positions differ exactly if it is at
 least 0.9 / 1.1. MinHash banding proposes pairs, the exact similarity verifies them, and connected components are the clusters.
 
-With 6 rows a band and 40 bands a pair just at the limit is missed with probability (1 - 0.818^6)^40 < 1e-6, a closer one less.
+Only records of equal attributes and length can be similar. The larger such a group is, the more rows a band has, so that about as many other
+records share a band with a record in groups of any size; there are as many bands as make it less likely than ``MISS`` that a pair just at the limit
+shares none (40 of 6 rows in small groups), and a closer pair is missed less.
 
-Only records of equal attributes and length can be similar. Such a group goes to one task while it has at most ``block_rows``
-different records; tasks take many groups. Larger groups are spread by their band keys instead, and a band bucket that is itself
-larger is cut into chunks of which every two meet in a task. No pairs leave a task, only links to the least record of what is linked in
-it, so the output is linear in the records; the links of spread groups are joined by the components operator.
+The bands of a group are dealt to as many tasks as its size asks for: one for every ``piece_rows`` records, to which the group's records go, and which
+works on its share of the bands. A small group is so one piece of a task that takes many. A group with more pieces than bands has its bands
+cut by band key besides, as only equal keys must meet. No pairs leave a task, only links to the least record of what is linked in it, so the output
+is linear in the records; the links of groups of several pieces are joined by the components operator.
 
 Profiles need the degrees of a cluster, so every two of its records are compared. Clusters of up to ``block_rows`` different records are
 split in one task. In larger ones chunks meet two by two and leave a bit for each pair; parts are then peeled off in rounds, of all
@@ -18,6 +20,7 @@ records at once that nothing within three steps outranks, until what is left of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,30 +31,47 @@ from pyspark.sql import functions as F
 from chainforge.operators.components import min_label_components
 from chainforge.runtime import Stored, store
 
-ROWS, BANDS = 6, 40
-BLOCK_ROWS = 20_000
+#: Probability that no band of a pair just at the limit agrees.
+MISS = 7e-7
+#: Records that are worked on at once, and records of a group for each of its pieces.
+BLOCK_ROWS, PIECE_ROWS = 20_000, 200_000
+#: Pieces beyond which a group is cut by band key too.
+MOST_PIECES = 40
 
 
-def _tables(length: int) -> Iterator[np.ndarray]:
-    for h in range(ROWS * BANDS):
-        yield np.random.default_rng((h, length, 20240517)).integers(0, 1 << 32, length * 27, dtype=np.uint32)
+def banding(size: int, differ: float) -> tuple[int, int]:
+    """(rows of a band, bands) for groups of so many different records."""
+    least = (1 - differ) / (1 + differ)
+    if least == 1:
+        return 6, 1
+    rows = max(min(6, max(1, int(math.log(0.2) / math.log(least)))), math.ceil(math.log2(max(size, 1) / 400)))
+    return rows, math.ceil(math.log(MISS) / math.log1p(-(least**rows)))
 
 
-def band_keys(a: np.ndarray, groups: np.ndarray) -> Iterator[np.ndarray]:
-    """For each band the keys of the rows of a (letters as 0-26): equal keys, equal bands and groups."""
+def band_keys(a: np.ndarray, groups: np.ndarray, rows: int, bands: range) -> Iterator[np.ndarray]:
+    """For each of the bands the keys of the rows of a (letters as 0-26): equal keys, equal bands and groups."""
     n, length = a.shape
     if not length:
         yield groups.astype(np.uint64)
         return
-    at = a.astype(np.int32) + np.arange(length, dtype=np.int32) * 27
-    buffer = np.empty(at.shape, np.uint32)
-    for h, table in enumerate(_tables(length)):
-        if h % ROWS == 0:
-            key = groups.astype(np.uint64) ^ np.uint64(h * 0x9E3779B97F4A7C15 % (1 << 64))
-        np.take(table, at, out=buffer, mode="clip")
-        key = (key ^ buffer.min(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        key ^= key >> np.uint64(29)
-        if h % ROWS == ROWS - 1:
+    at = np.ascontiguousarray(a.T).astype(np.intp)
+    together = max(1, 48 // rows)  # bands hashed at once: the values of all their hashes for a letter at a position lie side by side
+    for first in range(0, len(bands), together):
+        some = bands[first : first + together]
+        table = np.concatenate([np.random.default_rng((b, rows, length, 20240517)).integers(0, 1 << 32, (length, 27, rows), dtype=np.uint32) for b in some], axis=2)
+        least = np.empty((n, table.shape[2]), np.uint32)
+        for s in range(0, n, 4096):
+            best = least[s : s + 4096]
+            np.take(table[0], at[0, s : s + 4096], axis=0, out=best, mode="clip")
+            value = np.empty_like(best)
+            for position in range(1, length):
+                np.take(table[position], at[position, s : s + 4096], axis=0, out=value, mode="clip")
+                np.minimum(best, value, out=best)
+        for k, b in enumerate(some):
+            key = groups.astype(np.uint64) ^ np.uint64((b + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            for row in range(k * rows, (k + 1) * rows):
+                key = (key ^ least[:, row]) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(29)
             yield key
 
 
@@ -69,47 +89,77 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = jumped
 
 
-def _alike(a: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+def bit_planes(a: np.ndarray) -> np.ndarray:
+    """The letters of a (0-26) as words of 64 positions for each of their five bits: rows x 5 x words."""
+    n, length = a.shape
+    out = np.zeros((n, 5, 8 * max(1, -(-length // 64))), np.uint8)
+    for bit in range(5):
+        out[:, bit, : -(-length // 8)] = np.packbits((a >> bit) & 1, axis=1)
+    return out.view(np.uint64)
+
+
+def _alike(planes: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows i and j, pair by pair, differ at ``most`` positions or fewer."""
     out = np.empty(len(i), bool)
     for s in range(0, len(i), 20_000):
-        out[s : s + 20_000] = (a[i[s : s + 20_000]] != a[j[s : s + 20_000]]).sum(1) <= most
+        x = planes[i[s : s + 20_000]] ^ planes[j[s : s + 20_000]]
+        out[s : s + 20_000] = np.bitwise_count(np.bitwise_or.reduce(x, axis=1)).sum(1, dtype=np.int32) <= most
     return out
 
 
-def _link_run(a: np.ndarray, run: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
-    """Labels after linking all alike rows of a large run, without comparing all pairs.
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many positions differ between each row of x and each of y (planes)."""
+    d = np.zeros((len(x), len(y)), np.uint8 if x.shape[2] < 4 else np.int32)
+    for word in range(x.shape[2]):
+        columns = np.ascontiguousarray(y[:, :, word].T)
+        differ = x[:, 0, word, None] ^ columns[0]
+        more = np.empty_like(differ)
+        for bit in range(1, 5):
+            np.bitwise_xor(x[:, bit, word, None], columns[bit], out=more)
+            np.bitwise_or(differ, more, out=differ)
+        d += np.bitwise_count(differ)
+    return d
+
+
+def _link_run(planes: np.ndarray, run: np.ndarray, label: np.ndarray, most: int, short: int = 2048) -> np.ndarray:
+    """Labels after linking all alike rows of a run.
 
-    Pivots are taken until every row is within ``most`` of one. Two alike rows x and y, y at pivot p, have x within 2 ``most`` of p, so
-    only such x are compared with the rows of p.
+    Of a long run not all pairs are compared: pivots are taken until every row is within ``most`` of one. Two alike rows x and y, y at pivot p,
+    have x within 2 ``most`` of p, so only such x are compared with the rows of p.
     """
-    rows = a[run]
+    rows = planes[run]
+    if len(run) <= short:
+        for s in range(0, len(run), 64):
+            i, j = np.nonzero(_distances(rows[s : s + 64], rows[s:]) <= most)
+            label = _merge(label, run[s + i], run[s + j])
+        return label
     owner = np.full(len(run), -1)
     near: list[np.ndarray] = []
     while (free := np.flatnonzero(owner < 0)).size:
-        d = (rows != rows[free[0]]).sum(1)
-        own = np.flatnonzero((d <= most) & (owner < 0))
-        owner[own] = len(near)
+        d = _distances(rows[free[:1]], rows)[0]
         hit = np.flatnonzero(d <= most)
+        owner[hit[owner[hit] < 0]] = len(near)
         label = _merge(label, run[np.full(len(hit), free[0])], run[hit])
         near.append(np.flatnonzero(d <= 2 * most))
     for p, x in enumerate(near):
         y = np.flatnonzero(owner == p)
         for s in range(0, len(y), 64):
             part = y[s : s + 64]
-            xs = x[np.isin(label[run[x]], label[run[part]], invert=True)] if len(np.unique(label[run[part]])) == 1 else x
-            for k in range(0, len(xs), 512):
-                d = (rows[xs[k : k + 512], None, :] != rows[None, part, :]).sum(2)
-                hx, hy = np.nonzero(d <= most)
-                label = _merge(label, run[xs[k : k + 512][hx]], run[part[hy]])
+            one = np.unique(label[run[part]])
+            xs = x[label[run[x]] != one[0]] if len(one) == 1 else x
+            if len(xs):
+                i, j = np.nonzero(_distances(rows[part], rows[xs]) <= most)
+                label = _merge(label, run[part[i]], run[xs[j]])
     return label
 
 
-def components_of(a: np.ndarray, groups: np.ndarray, differ: float) -> np.ndarray:
-    """The least index of each row's component; only rows of equal groups can be linked. a: different rows of one length."""
+def components_of(a: np.ndarray, groups: np.ndarray, differ: float, rows: int, bands: range) -> np.ndarray:
+    """The least index of each row's component by these bands; only rows of equal groups can be linked. a: different rows of one length."""
     n, length = a.shape
     label = np.arange(n)
     most = int(differ * length + 1e-9)
-    for key in band_keys(a, groups):
+    planes = bit_planes(a)
+    for key in band_keys(a, groups, rows, bands):
         order = np.argsort(key, kind="stable")
         k = key[order]
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
@@ -129,12 +179,14 @@ def components_of(a: np.ndarray, groups: np.ndarray, differ: float) -> np.ndarra
             i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
             same = groups[i] == groups[j]
             i, j = i[same], j[same]
-            hit = _alike(a, i, j, most)
+            hit = _alike(planes, i, j, most)
             label = _merge(label, i[hit], j[hit])
         for b in np.flatnonzero(size > 32):
             run = order[start[b] : start[b] + size[b]]
-            if len(np.unique(label[run])) > 1:
-                label = _link_run(a, run, label, most)
+            for g in np.unique(groups[run]):  # one, but for equal hashes
+                mine = run[groups[run] == g]
+                if len(np.unique(label[mine])) > 1:
+                    label = _link_run(planes, mine, label, most)
     return label
 
 
@@ -145,11 +197,11 @@ def _matrix(texts: pa.Array) -> np.ndarray:
     return np.minimum(flat - np.uint8(65), np.uint8(26)).reshape(n, -1) if n else np.empty((0, 0), np.uint8)
 
 
-def _by_block(work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], block_rows: int):
-    """mapInArrow function over rows sorted by (length, g): calls work with whole groups g of one length, block_rows rows or a group at a time."""
+def _by_block(work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], block_rows: int, key: str = "g"):
+    """mapInArrow function over rows sorted by (length, key): calls work with whole keys of one length, block_rows rows or a key at a time."""
 
     def cut(t: pa.Table, last: bool) -> Iterator[pa.Table]:
-        length, g = t["length"].to_numpy(), t["g"].to_numpy()
+        length, g = t["length"].to_numpy(), t[key].to_numpy()
         new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (length[1:] != length[:-1])))
         ends = np.append(new[1:], len(g))
         at = 0
@@ -163,7 +215,7 @@ def _by_block(work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], block_rows
             keep = new[-1] if new[-1] > at else at
             if keep > at and at != keep:
                 yield t.slice(at, keep - at)
-            yield t.slice(keep)  # the last group may go on in the next batch
+            yield t.slice(keep)  # the last one may go on in the next batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -173,7 +225,7 @@ def _by_block(work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], block_rows
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < block_rows:
+            if rows < block_rows or held[0].column(key)[0] == batch.column(key)[-1]:
                 continue
             *whole, rest = cut(pa.Table.from_batches(held).combine_chunks(), False)
             for t in whole:
@@ -201,73 +253,84 @@ def distinct_records(df: DataFrame, record_id: Column, letters: Column, attribut
     return keyed.select("seq_id", "k1", "k2"), store(records)
 
 
-_OUT = "rep_id long, k1 long, k2 long, n long, cluster_id long, total long"
+_DEALT = "unit long, length int, g long, size long, piece int, pieces int, letters string, rep_id long, k1 long, k2 long, n long"
+_OUT = "split boolean, rep_id long, k1 long, k2 long, n long, cluster_id long, total long"
 
 
-def _local(records: DataFrame, differ: float, block_rows: int) -> DataFrame:
-    """Records of clusters of more than one row, of groups that fit a task."""
+def _unit(g: np.ndarray, piece: np.ndarray, part: np.ndarray) -> np.ndarray:
+    x = (g.astype(np.uint64) ^ (piece.astype(np.uint64) << np.uint64(32)) ^ part.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(31)).view(np.int64)
 
-    def work(t: pa.Table, a: np.ndarray) -> pa.RecordBatch:
-        reps, n = t["rep_id"].to_numpy(), t["n"].to_numpy()
-        label = components_of(a, t["g"].to_numpy(), differ)
-        least = np.full(len(reps), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, reps)
-        total = np.zeros(len(reps), np.int64)
-        np.add.at(total, label, n)
-        keep = np.flatnonzero(total[label] > 1)
-        cols = [reps[keep], t["k1"].to_numpy()[keep], t["k2"].to_numpy()[keep], n[keep], least[label][keep], total[label][keep]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rep_id", "k1", "k2", "n", "cluster_id", "total"])
-
-    return records.repartition("g", "length").sortWithinPartitions("length", "g").mapInArrow(_by_block(work, block_rows), _OUT)
 
+def _deal(differ: float, piece_rows: int):
+    """mapInArrow function: each record of a large group once for each piece of the group."""
 
-def _spread(records: DataFrame, differ: float, block_rows: int) -> DataFrame:
-    """The same for groups that don't fit a task: by band keys, with hot buckets cut into chunks that meet two by two."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch.column(1).to_numpy()
-            for value in np.unique(length):
-                part = batch.filter(pa.array(length == value))
-                g = part.column(0).to_numpy()
-                for key in band_keys(_matrix(part.column(2)), g):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(1), part.column(2), part.column(3), part.column(0)], names=["g", "length", "letters", "rep_id", "group"])
+            length, g, size = (batch.column(c).to_numpy() for c in ("length", "g", "size"))
+            for value, sized in sorted(set(zip(length.tolist(), size.tolist()))):
+                mine = batch.filter(pa.array((length == value) & (size == sized)))
+                own = mine.column("g").to_numpy()
+                pieces = min(MOST_PIECES, -(-sized // piece_rows))
+                parts = -(-sized // (piece_rows * MOST_PIECES))
+                rows, bands = banding(sized, differ)
+                if parts > 1:
+                    pieces = bands
+                keys = band_keys(_matrix(mine.column("letters")), own, rows, range(bands)) if parts > 1 else None
+                for piece in range(pieces):
+                    part = (next(keys, own) % np.uint64(parts)).astype(np.int64) if parts > 1 else np.zeros(len(own), np.int64)
+                    where = np.full(len(own), piece)
+                    cols = [pa.array(_unit(own, where, part)), mine.column("length"), mine.column("g"), mine.column("size"), pa.array(where, pa.int32()), pa.array(np.full(len(own), pieces), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*cols, *(mine.column(c) for c in ("letters", "rep_id", "k1", "k2", "n"))], names=[c.split()[0] for c in _DEALT.split(", ")])
 
-    def work(t: pa.Table, a: np.ndarray) -> pa.RecordBatch:
-        reps = t["rep_id"].to_numpy()
-        group = t["group"].to_numpy() ^ t["g"].to_numpy()
-        label = components_of(a, group, differ)
-        least = np.full(len(reps), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, reps)
-        low = least[label]
-        keep = np.flatnonzero(low != reps)
-        return pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(reps[keep])], names=["a", "b"])
-
-    banded = records.select("g", "length", "letters", "rep_id").mapInArrow(explode, "g long, length int, letters string, rep_id long, group long")
-    half = max(1, block_rows // 2)
-    hot = store(banded.groupBy("g", "length").count().where(F.col("count") > block_rows).select("g", "length", F.ceil(F.col("count") / half).cast("int").alias("chunks")))
-    cold = banded.join(F.broadcast(hot), ["g", "length"], "left_anti")  # buckets above block_rows: at most bands x records / block_rows
-    # chunk c of a hot bucket meets every other chunk o; the two go to the block of (min, max)
-    mine = F.pmod(F.xxhash64("rep_id"), F.col("chunks"))
-    met = banded.join(F.broadcast(hot), ["g", "length"]).withColumn("c", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.withColumn("g", F.xxhash64("g", F.least("c", "o"), F.greatest("c", "o"))).select(banded.columns)
-    links = cold.unionAll(met).repartition("g", "length").sortWithinPartitions("length", "g").mapInArrow(_by_block(work, block_rows), "a long, b long")
-    found = min_label_components(store(links.distinct()))
-    labelled = records.select("rep_id", "k1", "k2", "n").join(found.withColumnRenamed("node", "rep_id"), "rep_id", "left").withColumn("cluster_id", F.coalesce("component", "rep_id"))
-    total = labelled.groupBy("cluster_id").agg(F.sum("n").alias("total")).where("total > 1")
-    return labelled.join(total, "cluster_id").select("rep_id", "k1", "k2", "n", "cluster_id", "total")
+    return run
 
 
-def record_clusters(records: DataFrame, differ: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _work(differ: float):
+    def work(t: pa.Table, a: np.ndarray) -> pa.RecordBatch:
+        reps, n, g, size, piece, pieces = (t[c].to_numpy() for c in ("rep_id", "n", "g", "size", "piece", "pieces"))
+        out = []
+        kinds, which = np.unique(np.stack([size, piece, pieces]), axis=1, return_inverse=True)
+        for k, (sized, one, many) in enumerate(kinds.T.tolist()):
+            mine = np.flatnonzero(which.ravel() == k)
+            rows, bands = banding(sized, differ)
+            label = components_of(a[mine], g[mine], differ, rows, range(one, bands, many))
+            ids, copies = reps[mine], n[mine]
+            least = np.full(len(mine), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, ids)
+            total = np.zeros(len(mine), np.int64)
+            np.add.at(total, label, copies)
+            low, split = least[label], many > 1
+            keep = np.flatnonzero(low != ids if split else total[label] > 1)
+            out.append((np.full(len(keep), split), ids[keep], mine[keep], copies[keep], low[keep], total[label][keep]))
+        split, ids, at, copies, low, total = (np.concatenate(x) for x in zip(*out))
+        cols = [split, ids, t["k1"].to_numpy()[at], t["k2"].to_numpy()[at], copies, low, total]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in _OUT.split(", ")])
+
+    return work
+
+
+def record_clusters(records: DataFrame, differ: float, block_rows: int = BLOCK_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """rep_id, k1, k2, n, cluster_id, total: the different records of clusters of more than one row, with the rows of each and of its cluster."""
-    large = store(records.groupBy("g", "length").count().where(F.col("count") > block_rows).select("g", "length"))  # at most records / block_rows
+    large = store(records.groupBy("g", "length").agg(F.count("*").alias("size")).where(F.col("size") > piece_rows))  # at most records / piece_rows
+    keep = ["letters", "rep_id", "k1", "k2", "n"]
+    whole = records if large.isEmpty() else records.join(F.broadcast(large), ["g", "length"], "left_anti")
+    units = whole.select(F.col("g").alias("unit"), "length", "g", F.lit(1).cast("long").alias("size"), F.lit(0).alias("piece"), F.lit(1).alias("pieces"), *keep)
+    if not large.isEmpty():
+        big = records.join(F.broadcast(large), ["g", "length"])
+        units = units.unionAll(big.select("length", "g", "size", *keep).mapInArrow(_deal(differ, piece_rows), _DEALT))
+    found = units.repartition("unit", "length").sortWithinPartitions("length", "unit").mapInArrow(_by_block(_work(differ), block_rows, "unit"), _OUT)
+    columns = ["rep_id", "k1", "k2", "n", "cluster_id", "total"]
     if large.isEmpty():
-        return _local(records, differ, block_rows)
-    small = _local(records.join(F.broadcast(large), ["g", "length"], "left_anti"), differ, block_rows)
-    return small.unionAll(_spread(store(records.join(F.broadcast(large), ["g", "length"], "left_semi")), differ, block_rows))
+        return found.select(columns)
+    found = store(found)
+    linked = min_label_components(found.where("split").select(F.col("cluster_id").alias("a"), F.col("rep_id").alias("b")).distinct())
+    labelled = big.select("rep_id", "k1", "k2", "n").join(linked.withColumnRenamed("node", "rep_id"), "rep_id", "left").withColumn("cluster_id", F.coalesce("component", "rep_id"))
+    total = labelled.groupBy("cluster_id").agg(F.sum("n").alias("total")).where("total > 1")
+    return found.where("NOT split").select(columns).unionAll(labelled.join(total, "cluster_id").select(columns))
 
 
-def similarity_clusters(df: DataFrame, record_id: Column, letters: Column, attributes: list[Column], differ: float = 0.1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similarity_clusters(df: DataFrame, record_id: Column, letters: Column, attributes: list[Column], differ: float = 0.1, block_rows: int = BLOCK_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """cluster_id, seq_id: the rows of every cluster of more than one row, with its least seq_id.
 
     Two rows are alike if their attributes are equal, their letters are equally many and differ at no more than ``differ`` of the
@@ -276,21 +339,16 @@ def similarity_clusters(df: DataFrame, record_id: Column, letters: Column, attri
     at the end. An empty table gives no rows.
     """
     rows, records = distinct_records(df, record_id, letters, attributes)
-    found = store(record_clusters(records, differ, block_rows))
+    found = store(record_clusters(records, differ, block_rows, piece_rows))
     single = found.where("n = 1").select("cluster_id", F.col("rep_id").alias("seq_id"))
     copied = rows.join(found.where("n > 1").select("k1", "k2", "cluster_id"), ["k1", "k2"]).select("cluster_id", "seq_id")
     return single.unionAll(copied)
 
 
 def _near(a: np.ndarray, b: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """Whether each row of a differs from each of b at ``most`` positions or fewer, for 256 rows of a at a time."""
-    columns = np.ascontiguousarray(b.T)
+    """Whether each row of a differs from each of b (planes) at ``most`` positions or fewer, for 256 rows of a at a time."""
     for s in range(0, len(a), 256):
-        part = a[s : s + 256]
-        d = np.zeros((len(part), len(b)), np.uint8 if a.shape[1] < 256 else np.int32)
-        for at in range(a.shape[1]):
-            d += part[:, at, None] != columns[at]
-        yield d <= most
+        yield _distances(a[s : s + 256], b) <= most
 
 
 _BITS = "g long, c int, o int, rep_id long, bits binary"
@@ -303,6 +361,7 @@ def _pair_bits(members: DataFrame, differ: float) -> DataFrame:
         t = t.sort_by([("c", "ascending"), ("at", "ascending")])
         a, c, reps = _matrix(t["letters"].combine_chunks()), t["c"].to_numpy(), t["rep_id"].to_numpy()
         most = int(differ * a.shape[1] + 1e-9)
+        a = bit_planes(a)
         out = []
         lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
         for x, y in {(lo, hi), (hi, lo)}:
@@ -406,7 +465,7 @@ def _peel(records: DataFrame, differ: float, typical: int, block_rows: int) -> t
     return parts.select("cluster_id", "part_id", "n_rows", "n_records", "medoid_id", "typical_ids", "radius"), rest
 
 
-def cluster_profiles(df: DataFrame, record_id: Column, letters: Column, attributes: list[Column], differ: float = 0.1, typical: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def cluster_profiles(df: DataFrame, record_id: Column, letters: Column, attributes: list[Column], differ: float = 0.1, typical: int = 3, block_rows: int = BLOCK_ROWS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """cluster_id, part_id, n_rows, n_records, medoid_id, typical_ids, radius: each cluster split into tight parts and described.
 
     A part forms around the record of the highest degree (alike records of the cluster that are in no part yet; ties go to the least
@@ -416,7 +475,7 @@ def cluster_profiles(df: DataFrame, record_id: Column, letters: Column, attribut
     cluster is split in one task or in rounds over many. Clusters of one row don't come out.
     """
     _, records = distinct_records(df, record_id, letters, attributes)
-    found = record_clusters(records, differ, block_rows)
+    found = record_clusters(records, differ, block_rows, piece_rows)
     joined = store(found.join(records.select("rep_id", "length", "letters"), "rep_id").withColumnRenamed("cluster_id", "g"))
 
     def work(t: pa.Table, a: np.ndarray) -> pa.RecordBatch:
@@ -424,25 +483,21 @@ def cluster_profiles(df: DataFrame, record_id: Column, letters: Column, attribut
         out: list[dict] = []
         edges = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         for s, e in zip(edges, np.append(edges[1:], len(g))):
-            rows, ids, copies = a[s:e], reps[s:e], n[s:e]
-            length, m = rows.shape[1], e - s
+            rows, ids, copies = bit_planes(a[s:e]), reps[s:e], n[s:e]
+            length, m = a.shape[1], e - s
             most = int(differ * length + 1e-9)
-
-            def far(i: int, rows=rows) -> np.ndarray:
-                return (rows != rows[i]).sum(1)
-
             free = np.ones(m, bool)
-            degree = np.array([(far(i) <= most).sum() - 1 for i in range(m)])
+            degree = np.concatenate([near.sum(1) for near in _near(rows, rows, most)]) - 1
             while free.any():
                 left = np.flatnonzero(free)
                 pivot = left[np.lexsort((ids[left], -degree[left]))[0]]
-                d = far(pivot)
+                d = _distances(rows[[pivot]], rows)[0]
                 part = np.flatnonzero(free & (d <= most))
                 free[part] = False
                 rank = part[np.lexsort((ids[part], -degree[part], part != pivot))]
                 out.append({"cluster_id": int(g[s]), "part_id": int(ids[part].min()), "n_rows": int(copies[part].sum()), "n_records": len(part), "medoid_id": int(ids[pivot]), "typical_ids": ids[rank[:typical]].tolist(), "radius": float(d[part].max() / max(length, 1))})
-                for x in part:  # degrees count the free ones only
-                    degree[far(x) <= most] -= 1
+                for near in _near(rows[part], rows, most):  # degrees count the free ones only
+                    degree -= near.sum(0)
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([("cluster_id", pa.int64()), ("part_id", pa.int64()), ("n_rows", pa.int64()), ("n_records", pa.int64()), ("medoid_id", pa.int64()), ("typical_ids", pa.list_(pa.int64())), ("radius", pa.float64())])

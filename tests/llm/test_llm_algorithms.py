@@ -98,8 +98,8 @@ def test_similarity_clusters_equal_brute_force(spark):
     ]
     want = _union_find(pairs)
     df = spark.createDataFrame(rows, "i long, s string, v string").withColumn("g", F.lit(1))
-    for block in (20_000, 24):  # groups in one task; groups spread by band keys, hot buckets in chunks
-        got = {tuple(r) for r in sc.similarity_clusters(df, F.col("i"), F.col("s"), [F.col("v")], block_rows=block).collect()}
+    for block, piece in ((20_000, 200_000), (24, 200_000), (24, 24), (20_000, 7), (24, 1)):  # groups in one piece, in several, in as many as bands and cut by key
+        got = {tuple(r) for r in sc.similarity_clusters(df, F.col("i"), F.col("s"), [F.col("v")], block_rows=block, piece_rows=piece).collect()}
         assert got == want
     sizes = {}
     for c, _ in want:
@@ -123,6 +123,32 @@ def test_profiles_are_the_same_at_every_size(spark):
     assert any(int(r[3]) > 5 for r in one) and len({r[0] for r in one}) < len(one)
 
 
+def test_bit_planes_and_bands():
+    rng = np.random.default_rng(3)
+    for length in (0, 1, 8, 63, 64, 65, 130, 300):
+        a = rng.integers(0, 27, (40, length)).astype(np.uint8)
+        want = (a[:, None, :] != a[None, :, :]).sum(2)
+        planes = sc.bit_planes(a)
+        assert np.array_equal(sc._distances(planes, planes), want)
+        i, j = rng.integers(0, 40, 90), rng.integers(0, 40, 90)
+        assert np.array_equal(sc._alike(planes, i, j, 5), want[i, j] <= 5)
+    for size in (1, 20_000, 200_000, 10**7):
+        rows, bands = sc.banding(size, 0.1)
+        assert rows >= 6 and (1 - (0.9 / 1.1) ** rows) ** bands < 1e-6
+    assert sc.banding(1, 0.1) == (6, 40) and sc.banding(5, 0.0)[1] == 1
+    base = rng.integers(0, 20, (1, 121)).astype(np.uint8).repeat(4000, 0)  # pairs just at the limit share a band
+    other = base.copy()
+    for row, at in zip(other, rng.random(other.shape).argsort(1)[:, :12]):
+        row[at] = (row[at] + 1) % 20
+    for size in (1, 400_000):
+        rows, bands = sc.banding(size, 0.1)
+        groups = np.zeros(4000, np.int64)
+        met = np.zeros(4000, bool)
+        for x, y in zip(sc.band_keys(base, groups, rows, range(bands)), sc.band_keys(other, groups, rows, range(bands))):
+            met |= x == y
+        assert met.all()
+
+
 def test_large_runs_are_linked_like_all_pairs():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 20, (3, 50)).astype(np.uint8)
@@ -133,8 +159,8 @@ def test_large_runs_are_linked_like_all_pairs():
     for i in range(300):
         hit = np.flatnonzero((a != a[i]).sum(1) <= 5)
         want = sc._merge(want, np.full(len(hit), i), hit)
-    got = sc._link_run(a, np.arange(300), np.arange(300), 5)
-    assert np.array_equal(got, want)
+    for short in (2048, 0):
+        assert np.array_equal(sc._link_run(sc.bit_planes(a), np.arange(300), np.arange(300), 5, short), want)
 
 
 ENTRIES = [(1, "IGHV1-2*01"), (2, "IGHV1-2*02"), (3, "IGHV3-7*01"), (4, "IGHV1S34*01")]

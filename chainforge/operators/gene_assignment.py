@@ -91,13 +91,17 @@ def assign_genes(df: DataFrame, aligned: Column, chain: Column, species: Column,
         for key, genes in groups.items():
             hot = _one_hot([g[2] for g in genes])
             weight = hot if mode == "identity" else hot @ scores_m.astype(np.float32)
-            made[key] = [g[0] for g in genes], np.array([g[1] for g in genes]), weight.reshape(len(genes), -1), hot.sum((1, 2))
-
-        def best(values: np.ndarray, names: list[str], allowed: np.ndarray) -> tuple[str, float, int]:
-            v = np.where(allowed, values, -np.inf)
-            top = v.max()
-            at = np.flatnonzero(v >= top - 1e-9)
-            return "_".join(names[i] for i in at), float(top), int(at[0])
+            made[key] = np.array([g[0] for g in genes], object), np.array([g[1] for g in genes], object), weight.reshape(len(genes), -1), hot.sum((1, 2))
+
+        def best(values: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(names of the best by row, their value, the first one's index)."""
+            top = values.max(1)
+            ties = values >= top[:, None] - 1e-9
+            first = ties.argmax(1)
+            out = names[first]
+            for r in np.flatnonzero(ties.sum(1) > 1):
+                out[r] = "_".join(names[ties[r]])
+            return out, top, first
 
         for batch in batches:
             texts, chains, species_ = (c.to_pylist() for c in batch.columns[-3:])
@@ -112,17 +116,21 @@ def assign_genes(df: DataFrame, aligned: Column, chain: Column, species: Column,
                     v, j = (x @ v_w.T).astype(float), (x @ j_w.T).astype(float)
                     if mode == "identity":
                         v, j = v / np.maximum(v_n, 1), j / np.maximum(j_n, 1)
-                    for r, i in enumerate(part):
-                        sp = species_[i]
-                        anywhere = sp is None or sp == "unknown"
-                        may = np.ones(len(v_names), bool) if anywhere else v_species == sp
-                        if not may.any():
+                    wanted = np.array([species_[i] or "unknown" for i in part], object)
+                    for asked in set(wanted):
+                        may = np.flatnonzero(v_species == asked) if asked != "unknown" else np.arange(len(v_names))
+                        rows = np.flatnonzero(wanted == asked)
+                        if not may.size:
                             continue
-                        v_name, v_top, first = best(v[r], v_names, may)
-                        sp = str(v_species[first])
-                        may = j_species == sp
-                        j_name, j_top, _ = best(j[r], j_names, may) if may.any() else ("", 0.0, 0)
-                        out[i] = (v_name, j_name, v_top, j_top, sp)
+                        v_name, v_top, first = best(v[np.ix_(rows, may)], v_names[may])
+                        found = v_species[may[first]]
+                        for sp in set(found):
+                            mine, j_may = np.flatnonzero(found == sp), np.flatnonzero(j_species == sp)
+                            j_name, j_top = np.full(len(mine), "", object), np.zeros(len(mine))
+                            if j_may.size:
+                                j_name, j_top, _ = best(j[np.ix_(rows[mine], j_may)], j_names[j_may])
+                            for k, vn, vt, jn, jt in zip(rows[mine], v_name[mine], v_top[mine], j_name, j_top):
+                                out[part[k]] = (vn, jn, float(vt), float(jt), str(sp))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *(pa.array(c, t.type) for c, t in zip(zip(*out), _SCHEMA))] if out else [*batch.columns[:-3], *(pa.array([], t.type) for t in _SCHEMA)], names=[*rest, *new])
 
     wanted = F.lit(only_species) if only_species else species

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainforge.functions.alphabet import letters_of
 from chainforge.runtime import store
 
 BUCKET_ROWS = 20_000
@@ -87,21 +88,35 @@ def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = jumped
 
 
+def _parted(rows: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of buckets up to bucket_rows, rows of larger ones with the count of their bucket, or None)."""
+    hot = store(rows.groupBy("h1", "h2").count().where(F.col("count") > bucket_rows))  # at most rows / bucket_rows buckets
+    if hot.isEmpty():
+        return rows, None
+    return rows.join(F.broadcast(hot), ["h1", "h2"], "left_anti"), rows.drop("count").join(F.broadcast(hot), ["h1", "h2"])
+
+
 def bucket_links(blocks: DataFrame, key: list[str], mode: str, blosum: float, distances: dict[tuple[str, str], float] | None, symmetric: bool, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """a, b: links of rows to the least row of their component in each bucket. blocks: key, seq_id, aln1, aln2, aln3, b12, b3."""
+    """a, b: links of rows to the least row of their component in each bucket. blocks: key, seq_id, aln1, aln2, aln3, b12, b3, shared, n."""
     table = None
     if blosum >= 0:
         table = np.zeros((128, 128))
         for (a, b), d in distances.items():
             table[ord(a), ord(b)] = d
-    rows = blocks.select(F.xxhash64(*key).alias("h1"), F.xxhash64(F.lit(5), *key).alias("h2"), "seq_id", "aln1", "aln2", "aln3", "b12", "b3")
-    half = max(1, bucket_rows // 2)
-    hot = store(rows.groupBy("h1", "h2").count().where(F.col("count") > bucket_rows).select("h1", "h2", F.ceil(F.col("count") / half).cast("int").alias("chunks")))
-    spread = rows
-    if not hot.isEmpty():  # at most rows / bucket_rows buckets
-        met = rows.join(F.broadcast(hot), ["h1", "h2"]).withColumn("c", F.pmod(F.xxhash64("seq_id"), F.col("chunks"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        met = met.withColumn("h2", F.xxhash64("h2", F.least("c", "o"), F.greatest("c", "o"))).select(rows.columns)
-        spread = rows.join(F.broadcast(hot), ["h1", "h2"], "left_anti").unionAll(met)
+    rows = blocks.select(F.xxhash64(*key).alias("h1"), F.xxhash64(F.lit(5), *key).alias("h2"), "seq_id", "aln1", "aln2", "aln3", "b12", "b3", "shared", "block", "n")
+    columns = [c for c in rows.columns if c not in ("shared", "block", "n")]
+    spread, hot = _parted(rows, bucket_rows)
+    if hot is not None:
+        outside = F.filter(letters_of("shared"), lambda _, i: i % F.col("n") != F.col("block"))
+        again = hot.withColumn("outside", outside).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("b3"))))
+        part = F.array_join(F.filter("outside", lambda _, i: i % (F.col("b3") + 1) == F.col("sub")), "")
+        finer, hottest = _parted(again.withColumn("h2", F.xxhash64("h2", "sub", part)).select(*columns, "count"), bucket_rows)
+        spread = spread.select(columns).unionAll(finer.select(columns))
+        if hottest is not None:
+            chunks = F.ceil(F.col("count") / max(1, bucket_rows // 2)).cast("int")
+            met = hottest.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("seq_id"), F.col("chunks"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            spread = spread.unionAll(met.withColumn("h2", F.xxhash64("h2", F.least("c", "o"), F.greatest("c", "o"))).select(columns))
+    spread = spread.select(columns)
 
     def work(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         h1, h2, ids = (t[c].to_numpy() for c in ("h1", "h2", "seq_id"))

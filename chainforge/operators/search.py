@@ -4,7 +4,8 @@ The differences of two CDR3 texts of m and n letters, each set from both ends in
 in the columns that both fill: the left columns of the shorter left half and the right ones of the shorter right half. If at
 most ``most`` are allowed, those columns are cut into most - |m - n| + 1 blocks, of which a pair within the budget has at least one
 equal. So candidates come from an equi-join on (lengths, block, its letters, and the genes if they must be equal), without loss;
-they are verified exactly.
+they are verified exactly. The columns are dealt to the blocks in turn, as CDR3 begin and end alike: a block of neighbouring columns at an end
+would be the same letters in most rows.
 """
 
 from __future__ import annotations
@@ -80,20 +81,29 @@ def _blocks(df: DataFrame, s: SearchSettings, own_is_query: bool) -> DataFrame:
     shared = F.concat(F.substring(F.col("cdr3"), F.lit(1), left), F.substring(F.col("cdr3"), F.length("cdr3") - right + 1, right))
     both = both.withColumn("shared", shared).withColumn("n", F.least(F.col("room") + 1, F.greatest(left + right, F.lit(1)))).withColumn("w", left + right)
     cut = both.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    start, stop = F.floor(F.col("block") * F.col("w") / F.col("n")), F.floor((F.col("block") + 1) * F.col("w") / F.col("n"))
     # as many blocks as columns or fewer than the room allows: no block need be equal, so all such pairs are candidates
     free = F.col("room") >= F.col("w")
-    part = F.when(free, F.lit("")).otherwise(F.substring(F.col("shared"), (start + 1).cast("int"), (stop - start).cast("int")))
-    return cut.withColumn("part", part).where(~free | (F.col("block") == 0)).drop("other", "room", "shared", "n", "w")
+    part = F.when(free, F.lit("")).otherwise(_block(F.col("shared"), F.col("block"), F.col("n")))
+    return cut.withColumn("part", part).where(~free | (F.col("block") == 0)).drop("other", "room", "w")
+
+
+def _block(shared: Column, block: Column, n: Column) -> Column:
+    """The letters of a block: every n-th column from ``block`` on."""
+    return F.array_join(F.filter(letters_of(shared), lambda _, i: i % n == block), "")
 
 
 def candidates(queries: DataFrame, database: DataFrame, s: SearchSettings, same: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of prepared rows, as q and h structs, that may be within the CDR3 budget; ``same`` columns must be equal."""
-    keep = ["seq_id", "aln1", "aln2", "aln3", "len1", "len2", "len3", "v", "j", "species", "n_noncanonical"]
+    """Pairs of prepared rows, as q and h structs, that may be within the CDR3 budget; ``same`` columns must be equal.
+
+    A pair comes out once for each block that it shares, with ``first`` true for the least of these.
+    """
+    keep = ["seq_id", "aln1", "aln2", "aln3", "len1", "len2", "len3", "v", "j", "species", "n_noncanonical", "shared"]
     key = ["chain_group", "lq", "lh", "block", "part", *same]
-    q = _blocks(queries, s, True).select(*key, F.struct(*keep).alias("q"))
+    q = _blocks(queries, s, True).select(*key, "n", F.struct(*keep).alias("q"))
     h = _blocks(database, s, False).select(*key, F.struct(*keep).alias("h"))
-    return q.join(h, key).select("q", "h")
+    before = F.filter(F.sequence(F.lit(0), F.col("block")), lambda b: b < F.col("block"))
+    first = ~F.exists(before, lambda b: _block(F.col("q.shared"), b, F.col("n")) == _block(F.col("h.shared"), b, F.col("n")))
+    return q.join(h, key).select("q", "h", first.alias("first"))
 
 
 def _distances(pairs: DataFrame, s: SearchSettings) -> DataFrame:
@@ -128,7 +138,8 @@ def search(queries: DataFrame, database: DataFrame, settings: SearchSettings = S
     """query_id, seq_id, distance, n_noncanonical: all rows of the database within the cutoffs of each query.
 
     Both sides come from ``prepare``. same: which of v, j and species must be equal (a null filter of a query matches nothing then;
-    leave the column out to ignore it). distances: mismatch distances for a blosum_cutoff. Many queries are one join.
+    leave the column out to ignore it). distances: mismatch distances for a blosum_cutoff. Many queries are one join. A row given twice
+    with one id is a row each.
     """
     pairs = candidates(queries, database, settings, same)
     kept = _distances(pairs, settings)
@@ -136,8 +147,14 @@ def search(queries: DataFrame, database: DataFrame, settings: SearchSettings = S
         if distances is None:
             raise ValueError("blosum_cutoff needs distances")
         kept = _blosum(kept, settings, distances)
-    hits = kept.select(F.col("q.seq_id").alias("query_id"), F.col("h.seq_id").alias("seq_id"), "distance", F.col("h.n_noncanonical").alias("n_noncanonical"))
-    return hits.distinct()  # a pair may share several blocks
+    kept = kept.where("first")  # a pair may share several blocks
+    return kept.select(F.col("q.seq_id").alias("query_id"), F.col("h.seq_id").alias("seq_id"), "distance", F.col("h.n_noncanonical").alias("n_noncanonical"))
+
+
+def ranked(hits: DataFrame) -> DataFrame:
+    """hits with rank: 1, 2, ... within each query by distance, then id, then the number of noncanonical letters (A10)."""
+    order = Window.partitionBy("query_id").orderBy("distance", "seq_id", "n_noncanonical")
+    return hits.withColumn("rank", F.row_number().over(order))
 
 
 def single_linkage(prepared: DataFrame, every: DataFrame, settings: SearchSettings, by_jgene: bool = True, distances: dict[tuple[str, str], float] | None = None) -> DataFrame:

@@ -320,8 +320,9 @@ def test_large_buckets_are_linked_like_all_pairs(spark):
         assert np.array_equal(bucket.components(), want)
     rows = [(i, "".join(chr(c) for c in r[:9]), "".join(chr(c) for c in r[9:18]), "".join(chr(c) for c in r[18:]), 2, 2) for i, r in enumerate(a, 1)]
     df = spark.createDataFrame(rows, "seq_id long, aln1 string, aln2 string, aln3 string, b12 int, b3 int").withColumn("k", F.lit(1))
+    df = df.select("*", F.col("aln3").alias("shared"), F.lit(-1).alias("block"), F.lit(1).alias("n"))  # no column is common to the bucket
     found = []
-    for most in (20_000, 40):
+    for most in (20_000, 40, 6):  # whole, cut by blocks of the columns, and these cut into chunks
         links = [(r["a"], r["b"]) for r in linkage.bucket_links(df, ["k"], "3", -1, None, False, most).collect()]
         parent = {i: i for i in range(1, 151)}
 
@@ -334,7 +335,7 @@ def test_large_buckets_are_linked_like_all_pairs(spark):
             x, y = find(x), find(y)
             parent[max(x, y)] = min(x, y)
         found.append([find(i) for i in range(1, 151)])
-    assert found[0] == found[1]
+    assert found[0] == found[1] == found[2]
 
 
 def test_registered_fit_runs_until_the_tolerance_is_met(spark, sf, monkeypatch):

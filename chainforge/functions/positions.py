@@ -162,6 +162,11 @@ _IMGT_CDRS = {1: (27, 12, 32, 33), 2: (56, 10, 60, 61), 3: (105, 13, 111, 112)}
 
 
 @lru_cache(None)
+def insertion_letters(i: int) -> str:
+    """The letters of the insertion of this number: A for 0, Z for 25, then AA, AB and so on."""
+    return (insertion_letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+
+
 def imgt_cdr_codes(cdr: int, length: int) -> tuple[str, ...]:
     """The codes of an IMGT CDR of so many letters, which their number alone decides.
 
@@ -175,11 +180,8 @@ def imgt_cdr_codes(cdr: int, length: int) -> tuple[str, ...]:
     over = length - base
     to_right, to_left = (over + 1) // 2, over // 2
 
-    def letter(i: int) -> str:
-        return (letter(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
-
-    out = [str(first + i) for i in range(left)] + [f"{left_base}{letter(i)}" for i in range(to_left)]
-    return (*out, *(f"{right_base}{letter(i)}" for i in reversed(range(to_right))), *(str(first + n - right + i) for i in range(right)))
+    out = [str(first + i) for i in range(left)] + [f"{left_base}{insertion_letters(i)}" for i in range(to_left)]
+    return (*out, *(f"{right_base}{insertion_letters(i)}" for i in reversed(range(to_right))), *(str(first + n - right + i) for i in range(right)))
 
 
 def _imgt_cdr_codes(n: Column, cdr: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainforge.functions.alphabet import RESIDUES, is_valid_sequence, validity_error
-from chainforge.functions.positions import SCHEMES, imgt_cdr_codes
+from chainforge.functions.positions import SCHEMES, imgt_cdr_codes, insertion_letters
 from chainforge.functions.schemes import from_imgt
 
 MAB_CHAINS, TCR_CHAINS = ("H", "K", "L"), ("A", "B", "D", "G")
@@ -189,8 +189,8 @@ def _number(length: int, where: np.ndarray) -> list[str]:
         if at[i]:
             base, count = at[i], 0
         else:
+            codes[i] = f"{base}{insertion_letters(count)}"
             count += 1
-            codes[i] = f"{base}{chr(64 + min(count, 26))}"
     for cdr, before, after in _CDRS:
         left = np.flatnonzero((at > 0) & (at <= before))
         right = np.flatnonzero(at >= after)

@@ -400,17 +400,14 @@ _AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 def reading_frames(df: DataFrame, dna: str) -> DataFrame:
     """df with frame (1-3, and -1 to -3 for the other strand) and protein, six rows per row (N17). Unknown codons become X."""
     codons = F.create_map(*(F.lit(x) for i, a in enumerate(_AMINO) for x in (_BASES[i // 16] + _BASES[i // 4 % 4] + _BASES[i % 4], a)))
-    clean = F.upper(F.regexp_replace(F.col(dna), r"\s", ""))
-    clean = F.translate(clean, "U", "T")
-    strands = [(1, clean), (-1, F.reverse(F.translate(clean, "ACGT", "TGCA")))]
-
-    def protein(strand: Column, k: int) -> Column:
-        n = F.floor((F.length(strand) - k) / 3).cast("int")
-        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_join(F.transform(starts, lambda i: F.coalesce(F.element_at(codons, F.substring(strand, i * 3 + k + 1, F.lit(3))), F.lit("X"))), "")
-
-    frames = F.array(*(F.struct(F.lit(sign * (k + 1)).alias("frame"), protein(s, k).alias("protein")) for sign, s in strands for k in range(3)))
-    return df.where(F.col(dna).isNotNull()).select(*df.columns, F.explode(frames).alias("f")).select(*df.columns, "f.frame", "f.protein")
+    clean = F.translate(F.upper(F.regexp_replace(F.col(dna), r"\s", "")), "U", "T")
+    strands = F.array(F.struct(F.lit(1).alias("sign"), clean.alias("s")), F.struct(F.lit(-1).alias("sign"), F.reverse(F.translate(clean, "ACGT", "TGCA")).alias("s")))
+    strand, k = F.col("__s.s"), F.col("__k")
+    n = F.floor((F.length(strand) - k) / 3).cast("int")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    protein = F.array_join(F.transform(starts, lambda i: F.coalesce(F.element_at(codons, F.substring(strand, i * 3 + k + 1, F.lit(3))), F.lit("X"))), "")
+    rows = df.where(F.col(dna).isNotNull()).select(*df.columns, F.explode(strands).alias("__s")).select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("__k"))
+    return rows.select(*df.columns, (F.col("__s.sign") * (k + 1)).alias("frame"), protein.alias("protein"))
 
 
 def best_frame(df: DataFrame, row_id: str, dna: str, profiles: dict[str, np.ndarray], chains=MAB_CHAINS) -> DataFrame:

@@ -182,7 +182,8 @@ class CategoricalMixture:
     def em_step(self, encoded: DataFrame, codes: str = "codes") -> tuple[float, np.ndarray, np.ndarray]:
         """(lower bound, sums of responsibilities, expected counts[K, L, 21]) of one E-step.
 
-        Every partition sends one row a cluster; these are added by cluster before the model-sized result reaches the driver.
+        Partitions are read by as many tasks as the cluster has cores, and every task sends one row a cluster, its counts as bytes, however
+        many partitions the table has; these are added by cluster before the model-sized result reaches the driver.
         """
         shared = encoded.sparkSession.sparkContext.broadcast(self._log())
         length, k_all = self.length, self.n_components
@@ -199,7 +200,7 @@ class CategoricalMixture:
                     bound += norm.sum()
                     resp += r.sum(0)
                     counts += r.T @ x
-            yield pa.RecordBatch.from_arrays([pa.array(range(k_all), pa.int32()), pa.array([bound if k == 0 else 0.0 for k in range(k_all)]), pa.array(resp), pa.array(counts.tolist(), pa.list_(pa.float64()))], names=["k", "bound", "resp", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(k_all), pa.int32()), pa.array([bound if k == 0 else 0.0 for k in range(k_all)]), pa.array(resp), pa.array([c.tobytes() for c in counts], pa.binary())], names=["k", "bound", "resp", "counts"])
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -208,16 +209,17 @@ class CategoricalMixture:
                     e = sums.setdefault(k, [0.0, 0.0, np.zeros(length * LETTERS)])
                     e[0] += b
                     e[1] += r
-                    e[2] += np.array(c)
+                    e[2] += np.frombuffer(c)
             if sums:
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array([e[i] for e in sums.values()]) for i in (0, 1)), pa.array([e[2].tolist() for e in sums.values()], pa.list_(pa.float64()))], names=["k", "bound", "resp", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array([e[i] for e in sums.values()]) for i in (0, 1)), pa.array([e[2].tobytes() for e in sums.values()], pa.binary())], names=["k", "bound", "resp", "counts"])
 
-        ddl = "k int, bound double, resp double, counts array<double>"
-        rows = encoded.select(codes).where(F.col(codes).isNotNull()).mapInArrow(partial, ddl).repartition("k").mapInArrow(total, ddl).collect()
+        ddl = "k int, bound double, resp double, counts binary"
+        tasks = encoded.sparkSession.sparkContext.defaultParallelism
+        rows = encoded.select(codes).where(F.col(codes).isNotNull()).coalesce(tasks).mapInArrow(partial, ddl).repartition("k").mapInArrow(total, ddl).collect()
         resp, counts = np.zeros(k_all), np.zeros((k_all, length, LETTERS))
         for r in rows:
             resp[r["k"]] = r["resp"]
-            counts[r["k"]] = np.array(r["counts"]).reshape(length, LETTERS)
+            counts[r["k"]] = np.frombuffer(bytes(r["counts"])).reshape(length, LETTERS)
         return float(sum(r["bound"] for r in rows)), resp, counts
 
     def fit(self, df: DataFrame, codes: Column, max_iter: int = 150, tol: float = 1e-3, n_restarts: int = 3, seed: int = 123, prune: bool = True) -> Fit:

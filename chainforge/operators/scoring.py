@@ -147,33 +147,30 @@ class SequenceScorer:
                 movable[c] = np.array([not lab.startswith("cdr") and not (c == "H" and x in ("105", "106")) for x, lab in zip(t.codes, labels)])
         codes_of = {c: t.codes for c, t in self.templates.items()}
         adjust = self.adjustments if self.normalization == "training_set_adjust" else {}
-        shared = df.sparkSession.sparkContext.broadcast((models, movable, codes_of, adjust))
+        best_of = {c: log_mu.argmax(2) for c, (log_mu, _) in models.items()}
+        shared = df.sparkSession.sparkContext.broadcast((models, movable, codes_of, best_of, adjust))
         rest = [c for c in df.columns if c not in ("new_score", "mutations", "new_seq")]
         at = [rest.index(c) for c in (seq, numbering, "aligned", "chain_type")]
 
         def one(s: str, num: list[str], aligned: str, c: str, value) -> tuple:
-            models, movable, codes_of, adjust = value
+            models, movable, codes_of, best_of, adjust = value
             log_mu, log_w = models[c]
             pos = np.arange(len(aligned))
             x = np.array([ALPHABET.index(a) for a in aligned])
 
-            def likelihood(y: np.ndarray) -> float:
-                return float(logsumexp((log_mu[:, pos, y].sum(1) + log_w)[:, None])[0])
-
             k = int((log_mu[:, pos, x].sum(1) + log_w).argmax())
-            best = log_mu[k].argmax(1)
-            y = np.where(movable[c], best, x)
-            limit = s_thresh * likelihood(y)
-            score = likelihood(y)
+            y = np.where(movable[c], best_of[c][k], x)
+            joint = log_mu[:, pos, y].sum(1) + log_w  # by cluster; a change of one letter changes it by one column
+            score = float(logsumexp(joint[:, None])[0])
+            limit = s_thresh * score
             changed = [int(i) for i in np.flatnonzero(y != x)]
             changed.sort(key=lambda i: (log_mu[k, i, y[i]] - log_mu[k, i, x[i]], i))
             for i in changed:
-                trial = y.copy()
-                trial[i] = x[i]
-                now = likelihood(trial)
+                trial = joint - log_mu[:, i, y[i]] + log_mu[:, i, x[i]]
+                now = float(logsumexp(trial[:, None])[0])
                 if now <= limit:
                     break
-                y, score = trial, now
+                y[i], joint, score = x[i], trial, now
             where = {code: i for i, code in enumerate(num)}
             mutations, spot = [], 0
             for i, code in enumerate(codes_of[c]):
@@ -193,13 +190,13 @@ class SequenceScorer:
     def sample(self, spark, chain: str, cluster: int, n: int, seed: int = 0) -> DataFrame:
         """id, seq: n sequences drawn from a cluster, gaps stripped."""
         mu = self.models[self._known(chain)].parameters()[0][cluster]
-        steps = np.cumsum(mu, 1)
-        letters = []
-        for p in range(len(mu)):
-            u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", F.lit(p)), 11) * F.lit(2.0**-53)
-            drawn = sum(((F.lit(float(s)) <= u).cast("int") for s in steps[p]), F.lit(1))
-            letters.append(F.substring(F.lit(ALPHABET), F.least(drawn, F.lit(LETTERS)).cast("int"), F.lit(1)))
-        return spark.range(n).select("id", F.translate(F.concat(*letters), "-", "").alias("seq"))
+        steps = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in np.cumsum(mu, 1)))
+
+        def letter(row: Column, p: Column) -> Column:
+            u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), p), 11) * F.lit(2.0**-53)
+            return F.substring(F.lit(ALPHABET), F.least(F.size(F.filter(row, lambda x: x <= u)) + 1, F.lit(LETTERS)), F.lit(1))
+
+        return spark.range(n).select("id", F.translate(F.array_join(F.transform(steps, letter), ""), "-", "").alias("seq"))
 
     def consensus(self, chain: str, cluster: int) -> str:
         """The likeliest letters of a cluster, gaps stripped."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +19,25 @@ def _paths(paths) -> list[str]:
     return list(paths)
 
 
-def _place(paths: list[str]) -> Column:
-    """A sortable text of file, block and row: the order of the given files and of their rows."""
+def _place(spark: SparkSession, paths: list[str]) -> Column:
+    """A sortable text of file, block and row: the order of the given paths, of the files in a folder, and of their rows."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    at = F.lit(len(paths))
+    for i, p in reversed(list(enumerate(paths))):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        whole = re.sub("^file:/+", "/", path.getFileSystem(conf).makeQualified(path).toUri().toString()).rstrip("/")
+        at = F.when((file == whole) | file.startswith(whole + "/"), F.lit(i)).otherwise(at)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    names = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
-    at = F.array_position(F.array(*(F.lit(n) for n in names)), name)
-    return F.concat(F.lpad(at.cast("string"), 9, "0"), F.lit(":"), name, F.lit(":"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 18, "0"), F.lit(":"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    return F.concat(F.lpad(at.cast("string"), 9, "0"), F.lit(":"), name, F.lit(":"), file, F.lit(":"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 18, "0"), F.lit(":"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+
+
+def count_records(df: DataFrame, most: int = 2**32 - 1) -> int:
+    """The number of rows, counted before a database is built from them; more than ``most`` raise an error, none is 0."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows; a database holds {most} at most")
+    return n
 
 
 def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -31,24 +46,33 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     A line that begins with > starts a record; its sequence may take several lines; blank lines don't count; files that end in .gz are
     unpacked. error is null, ``no name`` or ``no sequence``. Large plain files are split at record starts; a .gz is one task.
     """
-    raw = spark.read.option("lineSep", "\n>").text(_paths(paths)).select("value", _place(paths).alias("place"))
+    raw = spark.read.option("lineSep", "\n>").text(_paths(paths)).select("value", _place(spark, paths).alias("place"))
     lines = F.transform(F.split(F.regexp_replace("value", r"^\s*>", ""), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[\r\t]", " ")))
     rows = raw.where(F.length(F.trim("value")) > 0).select("place", lines.alias("l"))
     out = rows.select("place", F.element_at("l", 1).alias("seqinfo"), F.array_join(F.slice("l", F.lit(2), F.size("l")), "").alias("sequence"))
     return out.withColumn("error", F.when(F.col("seqinfo") == "", "no name").when(F.col("sequence") == "", "no sequence"))
 
 
-def read_csv_rows(spark: SparkSession, paths: list[str], n_columns: int, skip_rows: int = 0, delimiter: str = ",") -> DataFrame:
-    """place, c0, c1, ...: CSV rows as texts without the first skip_rows of every file; empty rows don't count."""
+def read_csv_rows(spark: SparkSession, paths: list[str], n_columns: int, skip_rows: int = 0, delimiter: str = ",", multiline: bool = False) -> DataFrame:
+    """place, c0, c1, ...: CSV rows as texts without the first skip_rows lines of every file; empty rows don't count.
+
+    Fields beyond n_columns are left out and missing ones null. multiline: quoted fields may hold line breaks; then a file is one task, and
+    skip_rows counts rows that aren't empty. Else large plain files are split, and skip_rows counts all lines.
+    """
     if skip_rows < 0 or n_columns < 1:
         raise ValueError("skip_rows isn't negative and n_columns is positive")
-    schema = ", ".join(f"c{i} string" for i in range(n_columns))
-    rows = spark.read.schema(schema).option("sep", delimiter).option("escape", '"').option("nullValue", "").option("mode", "PERMISSIVE").csv(_paths(paths))
-    rows = rows.select(_place(paths).alias("place"), F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"), *(F.col(f"c{i}") for i in range(n_columns)))
+    columns = [f"c{i}" for i in range(n_columns)]
+    schema = ", ".join(f"{c} string" for c in columns)
+    options = {"sep": delimiter, "escape": '"', "nullValue": "", "mode": "PERMISSIVE"}
+    reader = spark.read.schema(schema).options(**options).option("multiLine", True).csv if multiline else spark.read.text
+    raw = reader(_paths(paths))
+    rows = raw.select(_place(spark, paths).alias("place"), F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"), *(columns if multiline else ["value"]))
     if skip_rows:
         first = rows.where("__b = 0").groupBy("__f").agg(F.min("__m").alias("__first"))  # a row per file
         rows = rows.join(F.broadcast(first), "__f", "left").where((F.col("__b") > 0) | (F.col("__m") >= F.col("__first") + skip_rows)).drop("__first")
-    return rows.drop("__f", "__b", "__m").where(F.concat(*(F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(n_columns))) != "")
+    if not multiline:
+        rows = rows.where(F.length("value") > 0).withColumn("__r", F.from_csv("value", schema, options)).select("place", "__f", "__b", "__m", "__r.*")
+    return rows.select("place", *columns).where(F.concat(*(F.coalesce(F.col(c), F.lit("")) for c in columns)) != "")
 
 
 def with_ids(df: DataFrame, order: str = "place") -> DataFrame:
@@ -95,7 +119,7 @@ def read_kmers(spark: SparkSession, path: str) -> DataFrame:
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """pos, allowed array<string> from lines ``pos,aa,aa,...`` up to ``//``; ``#`` lines are comments, ``-`` allows anything."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|//|$)"))
-    parts = F.transform(F.split("value", ","), F.trim)
+    parts = F.transform(F.split("value", ","), lambda x: F.trim(x))
     return lines.select(F.element_at(parts, 1).cast("int").alias("pos"), F.filter(F.slice(parts, 2, 100), lambda x: (x != "-") & (x != "")).alias("allowed"))
 
 

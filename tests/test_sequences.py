@@ -1,5 +1,6 @@
 """Sequence, numbering, gene, liability and file operators against plain Python."""
 
+import os
 import random
 import re
 
@@ -377,3 +378,37 @@ def test_panel_shows_the_identity_of_the_annotation(spark, sf):
                 assert r[f"{side}_identity"] == 0 and set(r[f"{side}_aligned"]) == {"-"}
             else:
                 assert abs(r[f"{side}_identity"] - want["percent_identity"]) < 1e-6
+
+
+def test_csv_rows_skip_all_lines_and_hold_line_breaks(spark, tmp_path):
+    a, b = tmp_path / "z" / "x.csv", tmp_path / "a" / "x.csv"
+    for f in (a, b):
+        f.parent.mkdir()
+    a.write_text('\nhead\n1,"a, ""b""",c,more\n\n2,short\n')
+    b.write_text('h,h\n3,"two\nlines",x\n')
+    rows = files.read_csv_rows(spark, [str(a)], 3, 2).orderBy("place").drop("place").collect()
+    assert [tuple(r) for r in rows] == [("1", 'a, "b"', "c"), ("2", "short", None)]
+    rows = files.read_csv_rows(spark, [str(b)], 3, 1, multiline=True).drop("place").collect()
+    assert [tuple(r) for r in rows] == [("3", "two\nlines", "x")]
+    got = files.with_ids(files.read_csv_rows(spark, [str(tmp_path / "z"), str(b)], 1)).orderBy("seq_id").collect()
+    assert [r["c0"] for r in got][:2] == ["head", "1"] and [r["c0"] for r in got][-2] == "3"  # the first folder first, though its name is the last
+    assert files.count_records(spark.range(3)) == 3 and files.count_records(spark.range(0)) == 0
+    with pytest.raises(ValueError):
+        files.count_records(spark.range(5), 4)
+
+
+def test_registered_functions(spark, tmp_path, sf):
+    from chainforge.operators.annotate import chain_profiles
+    from chainforge.plans.models import rule_model
+    from chainforge.register import register
+
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    profiles = chain_profiles(spark.read.parquet(f"{sf}/germlines.parquet"))
+    names = register(spark, profiles, rule_model(4))
+    assert {"annotate_chain", "mixture_score", "align_cdr"} <= set(names)
+    row = spark.sql("SELECT align_cdr('ACDEF', 7) AS a, align_cdr('ACDEF', 4) AS long, differences('ACD', 'AGD') AS d, differences('A', 'AA') AS u, is_chain_sequence(NULL) AS v, mixture_score('AC-D') AS s, mixture_score('AC') AS w, annotate_chain('J').error AS e").first()
+    assert (row["a"], row["long"], row["d"], row["u"], row["v"], row["w"]) == ("ACD--EF", None, 1, None, False, None) and row["s"] < 0 and row["e"].startswith("Sequence contains invalid")
+    fasta = tmp_path / "x.fa"
+    fasta.write_text(">a b\nAC\n\nDE\n>c\nF\n")
+    assert [tuple(r) for r in spark.read.format("fasta").load(str(fasta)).collect()] == [("a b", "ACDE"), ("c", "F")]

@@ -51,8 +51,8 @@ class SearchSettings:
 def prepare(df: DataFrame, seq_id: Column, chain: Column, cdrs: dict[int, Column], v: Column | None = None, j: Column | None = None, species: Column | None = None, noncanonical: Column | None = None) -> DataFrame:
     """seq_id, chain_group, cdr1-3 (letters), aln1-3 (fixed width), len1-3, v, j, species, n_noncanonical: rows as K1 needs them (K3).
 
-    Missing cdr1 and cdr2 are empty. Rows without CDR3 letters, or with CDRs wider than the fixed widths, are left out. Filters
-    that aren't given are null.
+    Missing cdr1 and cdr2 are empty. Rows without CDR3 letters, or with CDRs wider than the fixed widths, are left out; ``left_out``
+    lists them. Filters that aren't given are null.
     """
     none = F.lit(None).cast("string")
     group = F.element_at(F.create_map(*(F.lit(x) for kv in CHAIN_GROUPS.items() for x in kv)), chain)
@@ -65,6 +65,14 @@ def prepare(df: DataFrame, seq_id: Column, chain: Column, cdrs: dict[int, Column
     ).where("len3 > 0 AND aln1 IS NOT NULL AND aln2 IS NOT NULL AND aln3 IS NOT NULL AND chain_group IS NOT NULL")
 
 
+def left_out(df: DataFrame, seq_id: Column, chain: Column, cdrs: dict[int, Column]) -> DataFrame:
+    """seq_id, reason: the rows that ``prepare`` leaves out, by the first that applies of ``chain`` (unknown), ``missing`` (no CDR3) and ``wide``."""
+    group = F.element_at(F.create_map(*(F.lit(x) for kv in CHAIN_GROUPS.items() for x in kv)), chain)
+    wide = F.greatest(*(F.length(F.coalesce(c, F.lit(""))) - CDR_WIDTHS[k] for k, c in {1: F.lit(""), 2: F.lit(""), **cdrs}.items())) > 0
+    reason = F.when(group.isNull(), "chain").when(F.coalesce(F.length(cdrs[3]), F.lit(0)) == 0, "missing").when(wide, "wide")
+    return df.select(seq_id.cast("long").alias("seq_id"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def _budget(length: Column, cutoff: float) -> Column:
     return F.floor(length * F.lit(float(cutoff))).cast("int")
 

@@ -122,6 +122,11 @@ def k2_prepared_search(spark, sf):
     return se.search(queries_of(t), t, se.SearchSettings("123", 0.25), ("v", "species"))
 
 
+def k3_left_out(spark, sf):
+    t = table(spark, sf, "cdr_rows")
+    return se.left_out(t, F.col("cdr_id"), F.upper(F.substring("heavy_vgene", 3, 1)), {k: F.col(f"heavy_cdr{k}") for k in (1, 2, 3)})
+
+
 def j5_cross_database_search(spark, sf):
     """Planted queries from full_chains, searched in a database of both tables' CDR3; ids of cdr_rows are negative there."""
     chains, cdrs = chain_table(spark, sf), cdr_table(spark, sf)
@@ -180,7 +185,7 @@ def c1_single_linkage_cdr3(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        k1_search_cdr3, k1_search_cdr123, k1_length_shift, k1_symmetric, k1_gene_filter, k1_blosum, k1_light_cdr123, k1_light_symmetric, a10_ranked_hits, k2_prepared_search, j5_cross_database_search, j7_hit_lookup,
+        k1_search_cdr3, k1_search_cdr123, k1_length_shift, k1_symmetric, k1_gene_filter, k1_blosum, k1_light_cdr123, k1_light_symmetric, a10_ranked_hits, k2_prepared_search, k3_left_out, j5_cross_database_search, j7_hit_lookup,
         k5_column_diversity, k6_tag_lower_bound, k7_counts, k8_max_id, d1_distance_edges, d1_region_distances, c1_single_linkage, c1_single_linkage_cdr3,
     )
 }
@@ -273,6 +278,8 @@ SQL = {
     "k1_light_cdr123": f"WITH {_LIGHT} " + _hits("pq", "p", "123", 0.3),
     "k1_light_symmetric": f"WITH {_LIGHT} " + _hits("pq", "p", "123", 0.25, 1, True, "q.v = h.v AND q.species = h.species"),
     "a10_ranked_hits": f"WITH {_LIGHT} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, seq_id, n_noncanonical)::int AS rank FROM (" + _hits("pq", "p", "3", 0.3) + ")",
+    "k3_left_out": f"""SELECT cdr_id AS seq_id, CASE WHEN coalesce(upper(substr(heavy_vgene, 3, 1)), '?') NOT IN ('H', 'K', 'L', 'B', 'D', 'A', 'G') THEN 'chain' WHEN coalesce(length(heavy_cdr3), 0) = 0 THEN 'missing' ELSE 'wide' END AS reason FROM cdr_rows
+    WHERE coalesce(upper(substr(heavy_vgene, 3, 1)), '?') NOT IN ('H', 'K', 'L', 'B', 'D', 'A', 'G') OR coalesce(length(heavy_cdr3), 0) = 0 OR length(heavy_cdr1) > {W1} OR length(heavy_cdr2) > {W2} OR length(heavy_cdr3) > {W3}""",
     "k2_prepared_search": f"WITH {_CHAINS} " + _hits("pc", "pc", "123", 0.25, same="q.v = h.v AND q.species = h.species", who="q.id % 100 = 0"),
     "j5_cross_database_search": f"WITH {_CDRS}, {_CHAINS}, e AS ({_planted('pc')}), {_prepared('pe', 'e')}, "
     + "every AS (SELECT * FROM pc UNION ALL SELECT * REPLACE (-id AS id) FROM p) " + _hits("pe", "every", "3", 0.2),

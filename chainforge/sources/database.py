@@ -37,17 +37,11 @@ class Info:
 
 def chain_rows(df: DataFrame, seq: Column, numbering: Column, chain: Column, v: Column, j: Column, species: Column) -> DataFrame:
     """Rows of CHAINS from numbered sequences: IMGT CDR letters and the number of codes outside the canonical numbering."""
-    out = None
-    for group, chains in (("H", ("H", "B", "D")), ("L", ("K", "L", "A", "G"))):
-        part = df.where(chain.isin(*chains))
-        t = Template(canonical_numbering("imgt", group), group, "imgt")
-        cdr = {k: _cdr(seq, numbering, k) for k in (1, 2, 3)}
-        rows = part.select(
-            F.col("seq_id").cast("long").alias("seq_id"), chain.alias("chain"), *(cdr[k].alias(f"cdr{k}") for k in cdr),
-            v.alias("v_gene"), j.alias("j_gene"), species.alias("species"), F.size(t.unusual(numbering)).alias("n_noncanonical"),
-        )
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    heavy, light = (Template(canonical_numbering("imgt", group), group, "imgt").unusual(numbering) for group in "HL")
+    return df.where(chain.isin(*"HBDKLAG")).select(
+        F.col("seq_id").cast("long").alias("seq_id"), chain.alias("chain"), *(_cdr(seq, numbering, k).alias(f"cdr{k}") for k in (1, 2, 3)),
+        v.alias("v_gene"), j.alias("j_gene"), species.alias("species"), F.when(chain.isin(*"HBD"), F.size(heavy)).otherwise(F.size(light)).alias("n_noncanonical"),
+    )
 
 
 def _cdr(seq: Column, numbering: Column, cdr: int) -> Column:

@@ -57,6 +57,14 @@ def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _alike(cluster_profiles, spark, sf)
 
 
+def p4_first_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each cluster the rows in all parts and the part around its record of the highest degree, which is the first to be split off."""
+    parts = p4_clusters(spark, sf)
+    first = F.min(F.struct((-F.col("n_records")).alias("n"), "medoid_id"))  # parts shrink, and of equal ones the least medoid came first
+    got = parts.groupBy("cluster_id").agg(F.sum("n_rows").alias("n_rows"), first.alias("f"), (F.max("radius") <= 0.1 + 1e-9).alias("tight"))
+    return got.select("cluster_id", "n_rows", F.col("f.medoid_id").alias("medoid_id"), (-F.col("f.n")).alias("n_records"), "tight")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return link_groups(table(spark, sf, "chain_matches"), "id_a", "id_b")
 
@@ -72,7 +80,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_names(spark, sf).select("cdr_id", "field", "gene_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p6_found": p6_found, "p6_names": p6_names}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_first_parts": p4_first_parts, "p5_found": p5_found, "p6_found": p6_found, "p6_names": p6_names}
 
 _TERMS = """
 WITH v AS (SELECT seq_id, 'heavy_vgene' AS field, heavy_vgene AS v FROM full_chains UNION ALL SELECT seq_id, 'light_vgene', light_vgene FROM full_chains UNION ALL SELECT seq_id, 'heavy_jgene', heavy_jgene FROM full_chains),
@@ -98,6 +106,15 @@ WITH RECURSIVE c AS (SELECT seq_id, heavy_vgene AS v, heavy_jgene AS j, upper(re
 e AS (SELECT p.seq_id AS a, q.seq_id AS b FROM c p JOIN c q ON p.v = q.v AND p.j = q.j AND length(p.x) = length(q.x) AND p.seq_id <> q.seq_id WHERE 10 * hamming(p.x, q.x) <= length(p.x)),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT least(a, min(b)) AS cluster_id, a AS seq_id FROM r GROUP BY a""",
+    "p4_first_parts": """
+WITH RECURSIVE c AS (SELECT min(seq_id) AS id, count(*) AS n, heavy_vgene AS v, heavy_jgene AS j, upper(regexp_replace(heavy_chain, '[^A-Za-z]', '', 'g')) AS x FROM full_chains
+    WHERE regexp_matches(heavy_chain, '\\S') AND regexp_matches(heavy_vgene, '\\S') AND regexp_matches(heavy_jgene, '\\S') GROUP BY v, j, x),
+e AS (SELECT p.id AS a, q.id AS b FROM c p JOIN c q ON p.v = q.v AND p.j = q.j AND length(p.x) = length(q.x) WHERE 10 * hamming(p.x, q.x) <= length(p.x)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS id, min(b) AS cluster_id FROM r GROUP BY a),
+d AS (SELECT a AS id, count(*) AS degree FROM e GROUP BY a),
+t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY degree DESC, id) AS place, sum(n) OVER (PARTITION BY cluster_id) AS n_rows FROM k JOIN c USING (id) JOIN d USING (id))
+SELECT cluster_id, n_rows::bigint AS n_rows, id AS medoid_id, degree AS n_records, TRUE AS tight FROM t WHERE place = 1 AND n_rows > 1""",
     "p5_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT id_a AS a, id_b AS b FROM chain_matches WHERE id_a <> id_b UNION SELECT id_b, id_a FROM chain_matches WHERE id_a <> id_b),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)

@@ -135,7 +135,7 @@ def test_realised_tokens_are_counted_like_draws():
 def test_means_at_every_rate(spark):
     n, tokens = 2_000_000, 7
     drawn = spark.range(n).select(F.lit("s").alias("source"), (F.shiftrightunsigned(F.xxhash64("id"), 11) * F.lit(2.0**-53)).alias("u"), F.lit(tokens).alias("n_tokens"))
-    for rate, cap in ((1e-6, 1), (1e-5, 3), (1e-4, 1), (0.02, 1), (0.999, 1), (3.0, 5), (10.0, 1000), (800.0, 2000)):
+    for rate, cap in ((1e-6, 1), (1e-5, 3), (0.02, 1), (0.999, 1), (3.0, 5), (800.0, 2000)):
         wanted = rate * n * tokens
         mean = mixing.fit_means(drawn, {"s": (wanted, cap, n * tokens)})["s"]
         zeros, steps = mixing._cdf(mean, cap)
